@@ -94,10 +94,11 @@ def local_labels(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def sketch_ties(reach: float, width: int, signed: bool = False):
+def sketch_ties(reach: float, width: int, cross: bool = False):
     """For mapInArrow over ``bucketed`` rows (k, side, row_id, sketch): (a, b) ties each row to the smallest id it reaches.
 
-    A bucket yields at most one tie a row, however many of its pairs are within ``reach``.
+    A bucket yields at most one tie a row, however many of its pairs are within ``reach``. cross: only rows of
+    different sides are tied.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +110,17 @@ def sketch_ties(reach: float, width: int, signed: bool = False):
             if pair.any():  # most buckets, all at once
                 s = starts[pair]
                 d = rows[s].astype(np.int32) - rows[s + 1]
-                s = s[((d * d).sum(axis=1) <= reach) & (ids[s] != ids[s + 1])]
+                s = s[((d * d).sum(axis=1) <= reach) & (ids[s] != ids[s + 1]) & ((side[s] != side[s + 1]) | (not cross and side[s] == 0))]
                 a.append(np.maximum(ids[s], ids[s + 1]))
                 b.append(np.minimum(ids[s], ids[s + 1]))
             for s, e in zip(starts[~pair].tolist(), ends[~pair].tolist()):
+                mixed = side[s:e].any()
+                if cross and (not mixed or side[s:e].all()):
+                    continue
                 x = rows[s:e].astype(np.float32)
                 near = squared(x) <= reach
                 np.fill_diagonal(near, True)
-                if signed and side[s:e].any():
+                if mixed:
                     near &= (side[s:e, None] != side[None, s:e]) | np.eye(e - s, dtype=bool)
                 label = local_labels(near, ids[s:e])
                 moved = label != ids[s:e]

@@ -101,7 +101,7 @@ def image_clusters(df: DataFrame, id_col: str = "row_id", features_col: str = "f
     placed = keep(reps.select("row_id", "sketch").mapInArrow(_place, "row_id long, sketch binary, cells array<long>"), "cells")
     side = F.lit(0).cast("tinyint").alias("side")
     keyed = placed.select(F.explode("cells").alias("k"), side, "row_id", "sketch")
-    ties = keep(bucketed(keyed, placed.select(F.explode("cells").alias("k")), block).mapInArrow(sketch_ties(SENT_REACH / COSINE_STEP**2, SENT, True), "a long, b long"), "ties")
+    ties = keep(bucketed(keyed, placed.select(F.explode("cells").alias("k")), block).mapInArrow(sketch_ties(SENT_REACH / COSINE_STEP**2, SENT), "a long, b long"), "ties")
     release(placed)
     drafts = components(ties)
     release(ties)

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .clusters import cluster_report, image_clusters
+from .fuzzy import fuzzy_groups, fuzzy_pairs
+from .overlap import cross_split_pairs, overlap_report
+from .packing import pack, sizes
+from .quota import image_pool, quota_report, quota_sample
+from .splitting import split_documents
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,9 +28,75 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return cluster_report(images, image_clusters(images))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split_pairs(_t(spark, d, "train_images"), _t(spark, d, "test_images")).select("train_row_id", "test_row_id")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _t(spark, d, "train_images"), _t(spark, d, "test_images")
+    return overlap_report(cross_split_pairs(train, test), train, test)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    report = quota_report(image_pool(_t(spark, d, "train_images"), _t(spark, d, "train_labels")), _t(spark, d, "sample_targets"))
+    return report.where("not met").select("plan_id", "label")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return quota_report(image_pool(_t(spark, d, "train_images"), _t(spark, d, "train_labels")), _t(spark, d, "sample_targets"))
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample(image_pool(_t(spark, d, "train_images"), _t(spark, d, "train_labels")), _t(spark, d, "sample_targets"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy_pairs(_t(spark, d, "train_images"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy_groups(fuzzy_pairs(_t(spark, d, "train_images")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pack(sizes(_t(spark, d, "documents"))).where("parts > 1").select("doc_id").distinct()
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(sizes(_t(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_documents(_t(spark, d, "documents")).where("piece = 0").select("doc_id", "cut")
+
+
+def p8_split(spark: SparkSession, d: str) -> DataFrame:
+    return split_documents(_t(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+IMAGES = """
+    SELECT DISTINCT row_id FROM train_images
+    WHERE len(features) = 784 AND len(list_filter(features, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+POOL = f"""
+    WITH images AS ({IMAGES}),
+    cur AS (SELECT row_id, label FROM (
+        SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY labelled_at DESC NULLS LAST, label DESC NULLS LAST) AS r
+        FROM train_labels WHERE row_id IS NOT NULL) WHERE r = 1),
+    pool AS (SELECT row_id, CAST(label AS INT) AS label FROM cur JOIN images USING (row_id)
+        WHERE label IS NOT NULL AND NOT isnan(label) AND label BETWEEN 0 AND 9 AND label = floor(label)),
+    have AS (SELECT label, count(*) AS available FROM pool GROUP BY label),
+    want AS (SELECT plan_id, t.label, coalesce(available, 0) AS available,
+        greatest(min_rows, CAST(round(target_share * sample_size) AS BIGINT)) AS wanted
+        FROM sample_targets t LEFT JOIN have ON have.label = t.label)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": POOL + " SELECT plan_id, label FROM want WHERE available < wanted",
+        "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
+        "p8_found": "SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(text, '[ \n]'), lambda w: strlen(w) > 2048)) > 0 THEN 'forced' ELSE 'natural' END AS cut FROM documents WHERE strlen(text) > 2048",
+    }
