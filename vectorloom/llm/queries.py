@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .clusters import cluster_report, image_clusters
 from .fuzzy import fuzzy_groups, fuzzy_pairs
+from .leakage import leak_report, leaked_items
 from .overlap import cross_split_pairs, overlap_report
 from .packing import pack, sizes
 from .quota import image_pool, quota_report, quota_sample
@@ -66,6 +67,15 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(sizes(_t(spark, d, "documents")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    items = _t(spark, d, "eval_items")
+    return leak_report(leaked_items(_t(spark, d, "documents"), items), items)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(_t(spark, d, "documents")).where("piece = 0").select("doc_id", "cut")
 
