@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .clusters import cluster_report, image_clusters
 from .fuzzy import fuzzy_groups, fuzzy_pairs
 from .leakage import leak_report, leaked_items
+from .neighbours import both_splits, build_graph, nearest
 from .overlap import cross_split_pairs, overlap_report
 from .packing import pack, sizes
 from .quota import image_pool, quota_report, quota_sample
@@ -51,6 +52,17 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample(image_pool(_t(spark, d, "train_images"), _t(spark, d, "train_labels")), _t(spark, d, "sample_targets"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    probes = _t(spark, d, "image_probes").select("probe_id", F.col("row_id").alias("query")).where("query is not null").distinct()
+    found = nearest(both_splits(_t(spark, d, "train_images"), _t(spark, d, "test_images")), probes)
+    return probes.join(found, "query").select("probe_id", F.col("neighbour").alias("neighbour_id"))
+
+
+def p4_graph(spark: SparkSession, d: str) -> DataFrame:
+    _, graph, _ = build_graph(both_splits(_t(spark, d, "train_images"), _t(spark, d, "test_images")))
+    return graph.select("row_id", F.posexplode("near").alias("rank", "neighbour")).withColumn("rank", F.col("rank") + 1).where("rank <= 10")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy_pairs(_t(spark, d, "train_images"))
 
