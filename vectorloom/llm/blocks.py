@@ -28,11 +28,13 @@ def bucketed(rows: DataFrame, keys: DataFrame, limit: int, two_sided: bool = Fal
     """
     rest = [c for c in rows.columns if c not in ("k", "side")]
     n = F.ceil(F.col("n") / limit).cast("int")
+    by = ["k", "side"] if two_sided else ["k"]
+    heavy = _crowded(keys, by, limit).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     if two_sided:
-        heavy = keys.groupBy("k", "side").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).groupBy("k").agg(F.max(F.when(F.col("side") == 0, n)).alias("n0"), F.max(F.when(F.col("side") == 1, n)).alias("n1"))
+        heavy = heavy.groupBy("k").agg(F.max(F.when(F.col("side") == 0, n)).alias("n0"), F.max(F.when(F.col("side") == 1, n)).alias("n1"))
         heavy = heavy.select("k", F.coalesce("n0", F.lit(1)).alias("n0"), F.coalesce("n1", F.lit(1)).alias("n1"))
     else:
-        heavy = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("k", n.alias("n0"), n.alias("n1"))
+        heavy = heavy.select("k", n.alias("n0"), n.alias("n1"))
     found = heavy.limit(BROADCAST_KEYS + 1).collect()
     if found:
         heavy = F.broadcast(rows.sparkSession.createDataFrame(found, heavy.schema)) if len(found) <= BROADCAST_KEYS else heavy
@@ -48,6 +50,25 @@ def bucketed(rows: DataFrame, keys: DataFrame, limit: int, two_sided: bool = Fal
     return rows.repartition("k").sortWithinPartitions("k")
 
 
+def _crowded(keys: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """The rows of ``keys`` that may belong to a key of more than ``limit`` rows.
+
+    Keys are counted by a hash into eight times as many bins as there can be crowded keys, so a bin holds limit / 8
+    rows on average and what travels is one number a bin and task; only keys in bins above the limit are counted one
+    by one. At most an eighth of the bins can be above it.
+    """
+    total = keys.count()
+    if total <= limit:
+        return keys.limit(0)
+    bins = max(1024, 8 * total // limit)
+    placed = keys.withColumn("bin", F.pmod(F.xxhash64(*by), F.lit(bins)).cast("int"))
+    full = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("bin")
+    found = full.limit(BROADCAST_KEYS + 1).collect()
+    if not found:
+        return keys.limit(0)
+    return placed.join(F.broadcast(full) if len(found) <= BROADCAST_KEYS else full, "bin", "left_semi").drop("bin")
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Whole buckets of two or more rows from a sorted partition: a table with its buckets' starts and ends."""
     rest = None

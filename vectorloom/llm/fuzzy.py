@@ -100,9 +100,10 @@ def fuzzy_pairs(df: DataFrame, id_col: str = "row_id", features_col: str = "feat
     mean, dev = scale(reps)
     placed = keep(reps.select("row_id", "side", "sketch").mapInArrow(_placer(mean, dev), "row_id long, side tinyint, sketch binary, keys array<long>").withColumn("keys", F.array_distinct("keys")), "keys")
     found = near_same(table, reps, placed, reach, block, cross=False)
-    same = keep(copies(table, reps).select("rep", "side", "row_id"), "copies")
+    same = keep(copies(table), "copies")
     release(table, reps)
-    alike = same.select("rep", F.col("row_id").alias("left")).join(same.select("rep", F.col("row_id").alias("right")), "rep").where("left < right")
+    group = same.select("rep", "row_id").unionAll(same.select("rep", F.col("rep").alias("row_id")).distinct())
+    alike = group.select("rep", F.col("row_id").alias("left")).join(group.select("rep", F.col("row_id").alias("right")), "rep").where("left < right")
     pairs = with_copies(found, same).select("left", "right").unionAll(alike.select("left", "right"))
     return pairs.select(F.least("left", "right").alias("row_id_a"), F.greatest("left", "right").alias("row_id_b"))
 

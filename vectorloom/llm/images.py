@@ -142,6 +142,8 @@ def representatives(table: DataFrame) -> DataFrame:
     return table.groupBy("h1", "h2", "side").agg(F.min(F.struct("row_id", "sketch")).alias("m")).select("h1", "h2", "side", "m.row_id", "m.sketch")
 
 
-def copies(table: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, side, row_id): every image with the representative of its content, itself included, once."""
-    return table.select("h1", "h2", "side", "row_id").join(reps.select("h1", "h2", "side", F.col("row_id").alias("rep")), ["h1", "h2", "side"]).select("rep", "side", "row_id").distinct()
+def copies(table: DataFrame) -> DataFrame:
+    """(rep, side, row_id): every image whose content an image with a smaller id of the same side has, with the smallest."""
+    ids = table.select("h1", "h2", "side", "row_id")
+    shared = ids.groupBy("h1", "h2", "side").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).where("rep < last").drop("last")
+    return ids.join(shared, ["h1", "h2", "side"]).where("row_id <> rep").select("rep", "side", "row_id").distinct()

@@ -128,19 +128,19 @@ def near_same(table: DataFrame, reps: DataFrame, placed: DataFrame, reach: int,
     keys = placed.select(F.explode("keys").alias("k"), "side")
     ties = keep(bucketed(keyed, keys, block, cross).mapInArrow(sketch_ties(SENT_REACH / SPECTRUM_STEP**2, SENT, cross), "a long, b long"), "ties")
     drafts = components(ties)
-    release(ties, placed)
-    members = keep(drafts.join(table.select("row_id", "side", "levels"), F.col("node") == F.col("row_id")).select(F.col("label").alias("k"), "side", "row_id", "levels"), "members")
-    release(drafts)
-    found = keep(bucketed(members, members.select("k", "side"), block, cross).mapInArrow(_verify(reach, cross, tolerance), "a long, b long, distance long, agreeing int").dropDuplicates(["a", "b"]), "pairs")
-    release(members)
+    release(ties)
+    members = drafts.join(table.select("row_id", "side", "levels"), F.col("node") == F.col("row_id")).select(F.col("label").alias("k"), "side", "row_id", "levels")
+    sides = drafts.join(placed.select("row_id", "side"), F.col("node") == F.col("row_id")).select(F.col("label").alias("k"), "side")
+    found = keep(bucketed(members, sides, block, cross).mapInArrow(_verify(reach, cross, tolerance), "a long, b long, distance long, agreeing int").dropDuplicates(["a", "b"]), "pairs")
+    release(placed, drafts)
     return found
 
 
 def with_copies(pairs: DataFrame, same: DataFrame) -> DataFrame:
-    """Pairs of representatives as pairs of all images with their content. ``same``: (rep, side, row_id)."""
-    one = same.select(F.col("rep").alias("a"), F.col("row_id").alias("left"))
-    two = same.select(F.col("rep").alias("b"), F.col("row_id").alias("right"))
-    return pairs.join(one, "a").join(two, "b")
+    """Pairs (a, b) of representatives as pairs (left, right) of all images with their content. same: see ``copies``."""
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    every = reps.select("rep", F.col("rep").alias("row_id")).unionAll(same.select("rep", "row_id"))
+    return pairs.join(every.select(F.col("rep").alias("a"), F.col("row_id").alias("left")), "a").join(every.select(F.col("rep").alias("b"), F.col("row_id").alias("right")), "b")
 
 
 __all__ = ["copies", "keep", "near_same", "release", "scale", "with_copies"]

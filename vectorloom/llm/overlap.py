@@ -67,10 +67,11 @@ def cross_split_pairs(train: DataFrame, test: DataFrame, id_col: str = "row_id",
     mean, dev = scale(reps)
     placed = keep(reps.select("row_id", "side", "sketch").mapInArrow(_placer(mean, dev), "row_id long, side tinyint, sketch binary, keys array<long>"), "keys")
     found = near_same(table, reps, placed, reach, block, cross=True)
-    same = keep(copies(table, reps), "copies")
+    same = keep(copies(table), "copies")
+    # A pair's smaller representative may be of either split; the side of one end decides which is which.
+    later = keep(reps.where("side = 1").select(F.col("row_id").alias("b"), F.lit(1).alias("later")), "sides")
     release(table, reps)
-    # A pair's smaller representative may be of either split; sides decide which end is which.
-    pairs = with_copies(found, same).join(same.where("side = 1").select(F.col("row_id").alias("right"), F.lit(1).alias("later")), "right", "left")
+    pairs = with_copies(found.join(later, "b", "left"), same)
     return pairs.select(F.when(F.col("later") == 1, F.col("left")).otherwise(F.col("right")).alias("train_row_id"), F.when(F.col("later") == 1, F.col("right")).otherwise(F.col("left")).alias("test_row_id"), "distance", (F.col("agreeing") / PIXELS).alias("coverage"))
 
 
