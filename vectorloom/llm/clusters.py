@@ -16,9 +16,9 @@ from .images import COSINE_SIZE, COSINE_STEP, PIXELS, copies, cosine_sketch, del
 from .storage import keep, release
 
 #: Each grid quantises its own subset of the cosine coefficients of an image.
-GRIDS, DIMENSIONS, WIDTH, SEED = 8, 14, 220.0, 7
+GRIDS, DIMENSIONS, WIDTH, SEED = 7, 14, 220.0, 7
 #: Coefficients that travel with a cell, and the squared distance over them up to which cell mates may be linked.
-SENT, SENT_REACH = 48, 46_000
+SENT, SENT_REACH = 44, 42_000
 
 
 @lru_cache(maxsize=4)
@@ -84,7 +84,7 @@ def image_clusters(df: DataFrame, id_col: str = "row_id", features_col: str = "f
 
     Two images are linked when their squared level distance is at most ``reach``; a cluster is whatever links join.
 
-    1. Features are quantised: eight grids, each over fourteen of the lowest cosine coefficients. Images with the same
+    1. Features are quantised: seven grids, each over fourteen of the lowest cosine coefficients. Images with the same
        content are placed once.
     2. Cells are counted; only cells of two or more images are dense, and crowded ones are cut into blocks.
     3. Dense cells are adjacent where grids overlap, that is where they share an image. Cell mates whose leading
@@ -105,11 +105,11 @@ def image_clusters(df: DataFrame, id_col: str = "row_id", features_col: str = "f
     release(placed)
     drafts = components(ties)
     release(ties)
-    members = keep(drafts.join(table.select("row_id", "levels"), F.col("node") == F.col("row_id")).select(F.col("label").alias("k"), side, "row_id", "levels"), "members")
-    links = keep(bucketed(members, members.select("k"), block).mapInArrow(_links(reach), "a long, b long"), "links")
-    release(members, drafts)
+    members = drafts.join(table.select("row_id", "levels"), F.col("node") == F.col("row_id")).select(F.col("label").alias("k"), side, "row_id", "levels")
+    links = keep(bucketed(members, drafts.select(F.col("label").alias("k")), block).mapInArrow(_links(reach), "a long, b long"), "links")
+    release(drafts)
     # Every image is tied to the representative of its content, so copies alone can make a cluster too.
-    labels = components(links.unionAll(copies(table, reps).where("row_id <> rep").select(F.col("row_id").alias("a"), F.col("rep").alias("b"))))
+    labels = components(links.unionAll(copies(table).select(F.col("row_id").alias("a"), F.col("rep").alias("b"))))
     release(links, table)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     return labels.join(sizes, "label").select(F.col("node").alias("row_id"), F.col("label").alias("cluster_id"))
