@@ -1,4 +1,4 @@
-"""Connected components by minimum labels, as joins: no component is ever held by one task."""
+"""Connected components by contraction, as joins: no component is ever held by one task."""
 
 from __future__ import annotations
 
@@ -8,27 +8,34 @@ from pyspark.sql import functions as F
 from .storage import keep, release
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of every node's component. ``edges``: (a, b), either way round, no nulls.
 
-    Each round sends a node the smallest label among its neighbours and its own, then follows the label's own label
-    (pointer jumping), so a chain of n nodes takes about log n rounds. Labels only fall; the loop ends when none does.
-    Neighbour minima are pre-aggregated before the shuffle, so a hub costs no more than its partial minima.
+    In each round every node points to the neighbour, or itself, of the smallest hash, edges are moved to what their
+    ends point to, and edges within one node vanish. Hashes make even a sorted chain shrink by a constant share a
+    round, so rounds grow with the logarithm of the longest chain, and each works on what is left. Then every node
+    follows its pointers, and the smallest node takes the label. A hub costs no more than its tasks' partial minima.
     """
-    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    both = keep(pairs.select(F.col("a").alias("node"), F.col("b").alias("next")).unionAll(pairs.select(F.col("b"), F.col("a"))), "edges")
-    labels = keep(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("label")), "labels")
+    left = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    steps = []
     for _ in range(max_rounds):
-        seen = both.join(labels.withColumnRenamed("node", "next"), "next").select("node", "label")
-        least = labels.unionAll(seen).groupBy("node").agg(F.min("label").alias("label"))
-        hop = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        old = labels.withColumnRenamed("label", "was")
-        new = keep(least.join(hop, "label").join(old, "node").select("node", F.least("label", "far").alias("label"), "was"), "labels")
-        moved = not new.where("label < was").isEmpty()
-        release(labels)
-        labels = new.select("node", "label")
-        labels._vectorloom_path = new._vectorloom_path
-        if not moved:
-            release(both)
-            return labels
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(left.select(F.col("b"), F.col("a")))
+        low = ends.groupBy("node").agg(F.min(F.struct(F.xxhash64("other").alias("h"), F.col("other").alias("to"))).alias("m"))
+        step = keep(low.select("node", F.when(F.col("m.h") < F.xxhash64("node"), F.col("m.to")).otherwise(F.col("node")).alias("to")), "steps")
+        steps.append(step)
+        moved = left.join(step.withColumnsRenamed({"node": "a", "to": "x"}), "a").join(step.withColumnsRenamed({"node": "b", "to": "y"}), "b")
+        rest = keep(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        release(left)
+        left = rest
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
+    out = steps[0].withColumnRenamed("to", "root")
+    for step in steps[1:]:
+        out = out.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    roots = keep(out, "roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("label"))
+    labels = keep(roots.join(least, "root").select("node", "label"), "labels")
+    release(left, roots, *steps)
+    return labels
