@@ -90,7 +90,8 @@ def fit_arrays(g: Graph, kind: Training, x: np.ndarray, y: np.ndarray, tx: np.nd
         right = cost = 0.0
         for at in range(0, len(tx), 4096):
             val = run(g.backward, {id(g.input): tx[at : at + 4096][:, :, None], id(g.target): ty[at : at + 4096][:, :, None]})
-            right += (val[id(g.output)][:, :, 0].argmax(axis=1) == ty[at : at + 4096].argmax(axis=1)).sum()
+            shown = np.broadcast_to(val[id(g.output)], (len(ty[at : at + 4096]), g.output.rows, 1))
+            right += (shown[:, :, 0].argmax(axis=1) == ty[at : at + 4096].argmax(axis=1)).sum()
             cost += val[id(g.cost)].sum()
         out.append((epoch + 1, right / len(tx), cost / len(tx), kind.learning_rate))
     return out
