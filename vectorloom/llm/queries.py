@@ -40,7 +40,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    report = quota_report(image_pool(_t(spark, d, "train_images"), _t(spark, d, "train_labels")), _t(spark, d, "sample_targets"))
+    report = quota_report(image_pool(_t(spark, d, "train_images"), _t(spark, d, "train_labels")), _t(spark, d, "sample_targets"), sampled=False)
     return report.where("not met").select("plan_id", "label")
 
 
