@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import vec
 
@@ -159,20 +160,32 @@ def gradients(order: list[Node], val: dict[int, np.ndarray]) -> dict[int, np.nda
     return {k: (g.sum(axis=0) if g.ndim == 3 else g) if (n := next((x for x in order if id(x) == k), None)) is not None and n.parameter else g for k, g in grad.items()}
 
 
-def as_column(node: Node, feed: dict[int, Column]) -> Column:
-    """A node over column vectors as one native expression: inference without Python."""
-    if node.op == "create":
-        return feed[id(node)] if id(node) in feed else vec.vector(node.value.ravel().tolist())
-    if node.op == "matmul":
-        a, b = node.inputs
-        if a.op != "create" or node.cols != 1:
-            raise ValueError("only a stored matrix times a column vector becomes a column")
-        x = as_column(b, feed)
-        from pyspark.sql import functions as F
-
-        return F.array(*[vec.dot(x, vec.vector(row)) for row in a.value.tolist()])
-    a = [as_column(i, feed) for i in node.inputs]
-    return {"relu": vec.relu, "softmax": vec.softmax, "add": vec.add, "sub": vec.sub, "cross_entropy": vec.cross_entropy}[node.op](*a)
+def _times(x: Column):
+    return lambda w: F.aggregate(F.zip_with(w, x, lambda p, q: p * q), F.lit(0.0), lambda t, y: t + y)
+
+
+def with_output(order: list[Node], df: DataFrame, feed: dict[int, Column], out: str) -> DataFrame:
+    """df with the value of the last node over column vectors, without Python.
+
+    Every inner node becomes a column of its own step by step, so a node that is used twice is computed once and the
+    plan grows with the number of nodes.
+    """
+    kept, cols = df.columns, dict(feed)
+    for k, n in enumerate(order):
+        if n.op == "create":
+            cols.setdefault(id(n), vec.vector(n.value.ravel().tolist()))
+            continue
+        a = [cols[id(i)] for i in n.inputs]
+        if n.op == "matmul":
+            if n.inputs[0].op != "create" or n.cols != 1:
+                raise ValueError("only a stored matrix times a column vector becomes a column")
+            rows = F.array(*[vec.vector(row) for row in n.inputs[0].value.tolist()])
+            value = F.transform(rows, _times(a[1]))
+        else:
+            value = {"relu": vec.relu, "softmax": vec.softmax, "add": vec.add, "sub": vec.sub, "cross_entropy": vec.cross_entropy}[n.op](*a)
+        df = df.withColumn(f"_node{k}", value)
+        cols[id(n)] = F.col(f"_node{k}")
+    return df.select(*kept, cols[id(order[-1])].alias(out))
 
 
 def xavier(node: Node, fan_in: int, fan_out: int, fill) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rng, vec
 from ..operators.matrices import stack
 from ..operators.preprocessing import NotFittedError, check_features
-from .graph import Graph, as_column, gradients, run
+from .graph import Graph, gradients, run, with_output
 
 OPTIMIZERS = ("sgd", "momentum", "nesterov", "rmsprop", "adam", "adamw")
 #: A training set is sent to every run whole; a larger one raises, since its steps cannot be cut into tasks.
@@ -130,10 +130,10 @@ def load_params(g: Graph, params: list[list[float]]) -> Graph:
 
 
 def predict(g: Graph, df: DataFrame, features: str = "features", out: str = "probabilities") -> DataFrame:
-    """The graph's output as a native column."""
+    """The graph's output as native columns."""
     if not g.forward:
         raise NotFittedError("compile the graph first")
-    return df.withColumn(out, as_column(g.output, {id(g.input): vec.double(features)}))
+    return with_output(g.forward, df, {id(g.input): vec.double(features)}, out)
 
 
 def metrics_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
