@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rng, vec
 from ..operators.matrices import stack
 from ..operators.preprocessing import NotFittedError, check_features
-from .graph import Graph, gradients, run, with_output
+from .graph import Graph, gradients, run
 
 OPTIMIZERS = ("sgd", "momentum", "nesterov", "rmsprop", "adam", "adamw")
 #: A training set is sent to every run whole; a larger one raises, since its steps cannot be cut into tasks.
@@ -130,10 +131,20 @@ def load_params(g: Graph, params: list[list[float]]) -> Graph:
 
 
 def predict(g: Graph, df: DataFrame, features: str = "features", out: str = "probabilities") -> DataFrame:
-    """The graph's output as native columns."""
+    """df with the graph's output, evaluated over Arrow batches; a deep graph as one column expression would be inlined
+    by the optimizer wherever a node is used twice. Small chains may use ``graph.with_output``."""
     if not g.forward:
         raise NotFittedError("compile the graph first")
-    return with_output(g.forward, df, {id(g.input): vec.double(features)}, out)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                y = run(g.forward, {id(g.input): stack(b, "_x")[:, :, None]})[id(g.output)]
+                y = np.broadcast_to(y, (b.num_rows, g.output.rows, 1)).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(y.tolist(), pa.list_(pa.float64()))], [*b.schema.names[:-1], out])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.withColumn("_x", vec.double(features)).mapInArrow(task, schema)
 
 
 def metrics_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -391,6 +391,12 @@ def nn05_train_metrics(spark, d):
     return train.train_runs(a, b, partial(graph.residual_classifier, 64, 16, 10), runs, 10).select("run_id", "epoch", F.round("accuracy", 6).alias("accuracy"), F.round("cost", 6).alias("cost"), "learning_rate")
 
 
+@query()
+def nn03_forward(spark, d):
+    """The untrained residual network's probabilities for every vector."""
+    return _r(train.predict(graph.residual_classifier(64, 16, 10), _rows(spark, d)).select("row_id", F.posexplode("probabilities").alias("pos", "p")), "p", places=6)
+
+
 @query()
 def acc01_fitted_state(spark, d):
     rows = _rows(spark, d)
