@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from vectorloom.llm import leakage, packing, splitting
@@ -100,6 +101,23 @@ def test_pack(spark):
     assert packing.pack(sizes.limit(0)).count() == 0
 
 
+def test_pack_takes_the_cheapest_with_room():
+    assert packing._pack(np.array([60, 50, 35, 5]), 100, 1.0).tolist() == [0, 1, 1, 0]
+    lengths = np.sort(np.random.default_rng(5).integers(1, 400, 600))[::-1]
+    cost, room, want = [], [], []
+    for n in lengths.tolist():
+        fits = [b for b in range(len(room)) if room[b] >= n]
+        if not fits:
+            fits = [len(room)]
+            cost.append(0.0)
+            room.append(1000)
+        b = min(fits, key=lambda b: (cost[b], b))
+        cost[b] += n + 0.5 * n * n / 1000
+        room[b] -= n
+        want.append(b)
+    assert packing._pack(lengths, 1000, 0.5).tolist() == want
+
+
 @pytest.mark.parametrize("text", ["", "a", "word " * 2000, "x" * 9000, "é" * 5000, "one. two\nthree\n\nfour " * 700, " " * 5000, "\n" * 5000, "a" * 2048, "a b" + "c" * 2100 + " d" * 500])
 def test_split_is_whole(text):
     data = text.encode()

@@ -27,33 +27,48 @@ def parts(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def _pack(lengths: np.ndarray, capacity: int, attention: float) -> np.ndarray:
     """Containers of items in descending order of length: each goes to the cheapest container that still has room.
 
-    The cost of a container is the sum over its items of length + attention * length**2 / capacity. Containers are
-    opened when no open one has room. Open containers are kept by room, and within a room by cost, so a placement is
-    a look-up rather than a scan: the fullest room that fits is searched first, which leaves as little unused as
-    possible, and among containers with that room the cheapest is taken, which evens out the cost.
+    The cost of a container is the sum over its items of length + attention * length**2 / capacity; of containers of
+    equal cost the one opened first is taken. Containers are opened when no open one has room. Open containers are
+    kept by room, each room's in a heap by cost, and a tree holds the cheapest of every range of rooms, so a placement
+    is one look-up over all rooms that suffice rather than a scan.
     """
     import heapq
 
+    none = (float("inf"), -1)
+    leaves = 1 << capacity.bit_length()
+    least = [none] * (2 * leaves)
     rooms: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
-    filled = 0  # bit r is set if a container has room r
+
+    def update(room: int) -> None:
+        at = leaves + room
+        least[at] = rooms[room][0] if rooms[room] else none
+        while at > 1:
+            at >>= 1
+            new = min(least[2 * at], least[2 * at + 1])
+            if least[at] == new:
+                break
+            least[at] = new
+
+    left: list[int] = []
     out = np.empty(len(lengths), np.int64)
-    opened = 0
     for i, length in enumerate(lengths.tolist()):
-        fits = filled >> length
-        cost = length + attention * length * length / capacity
-        if fits:
-            room = length + (fits & -fits).bit_length() - 1
-            spent, box = heapq.heappop(rooms[room])
-            if not rooms[room]:
-                filled &= ~(1 << room)
+        at = leaves + length
+        spent, box = least[at]
+        while at > 1:
+            if not at & 1:
+                spent, box = min((spent, box), least[at + 1])
+            at >>= 1
+        if box < 0:
+            spent, box = 0.0, len(left)
+            left.append(capacity)
         else:
-            room, spent, box = capacity, 0.0, opened
-            opened += 1
+            heapq.heappop(rooms[left[box]])
+            update(left[box])
         out[i] = box
-        left = room - length
-        if left:
-            heapq.heappush(rooms[left], (spent + cost, box))
-            filled |= 1 << left
+        left[box] -= length
+        if left[box]:
+            heapq.heappush(rooms[left[box]], (spent + length + attention * length * length / capacity, box))
+            update(left[box])
     return out
 
 
