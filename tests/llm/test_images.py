@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.llm import clusters, fuzzy, images, neighbours, overlap, quota
+from vectorloom.llm import clusters, fuzzy, images, neighbours, overlap, queries, quota
 from vectorloom.llm.components import components
 from vectorloom.llm.near import PLACEMENTS, closest, moved
 
@@ -146,6 +146,47 @@ def test_nearest(spark):
     assert hits >= 14
 
 
+def exact_neighbours(rows, k=10):
+    """{id: [(neighbour, distance)]} by brute force over (id, levels), ties to the smaller id."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows]).astype(np.int64)
+    out = {}
+    for n, i in enumerate(ids.tolist()):
+        d = ((x - x[n]) ** 2).sum(1)
+        out[i] = [(int(ids[j]), int(d[j])) for j in np.lexsort((ids, d)) if j != n][:k]
+    return out
+
+
+def test_graph_query_is_exact(spark, tmp_path):
+    """All images, twenty copies of one among them, against brute force: neighbours, ranks and ties."""
+    x = drawings(130, 4, 12)
+    rows = [(1000 - 7 * i, v) for i, v in enumerate(x)] + [(2000 - i, x[3]) for i in range(20)]
+    frame(spark, [*rows[:90], rows[0], (5, None)]).write.parquet(f"{tmp_path}/train_images.parquet")
+    frame(spark, rows[90:]).write.parquet(f"{tmp_path}/test_images.parquet")
+    got = {}
+    for r in queries.p4_graph(spark, str(tmp_path)).orderBy("row_id", "rank").collect():
+        got.setdefault(r["row_id"], []).append(r["neighbour"])
+    assert got == {i: [n for n, _ in near] for i, near in exact_neighbours(rows).items()}
+
+
+def test_cells_in_blocks(spark, monkeypatch):
+    """Crowded cells cut into blocks give the same neighbours; several cells miss few."""
+    x = drawings(300, 6, 12)
+    images = neighbours.both_splits(frame(spark, list(enumerate(x))), frame(spark, []))
+    want = exact_neighbours(list(enumerate(x)), 5)
+
+    def lists():
+        got = {}
+        for r in neighbours.all_nearest(images, 5).orderBy("row_id", "rank").collect():
+            got.setdefault(r["row_id"], []).append((r["neighbour"], r["distance"]))
+        return got
+
+    monkeypatch.setattr(neighbours, "LEAF", 25)
+    assert lists() == want
+    monkeypatch.setattr(neighbours, "CELL", 60)
+    got = lists()
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.7 * 1500 and neighbours.all_nearest(images.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import bucketed, groups, squared
-from .images import PIXELS, deliveries, fixed_binary, matrix, valid_levels
+from .images import PIXELS, copies, deliveries, fixed_binary, matrix, sketched, valid_levels
 from .storage import keep, release
 
 #: The projection and the trees are fitted on at most so many images, those with the smallest hashes of their ids.
@@ -25,6 +25,10 @@ KEPT, JOINED, ROUNDS = 12, 4, 1
 SEARCH, EXPANDED, MEASURED = 3, 64, 300
 #: Queries searched together; their projections and levels, 832 bytes each, are what is broadcast.
 QUERY_BLOCK = 20_000
+#: The whole table: images a cell should hold, cells an image is placed in, images that each cell's centre is fitted on.
+CELL, PLACED, FIT_EACH = 700, 2, 8
+#: Centres are kept in groups of about so many, of which an image is compared with the nearest few.
+CENTRES, PROBED = 256, 6
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +187,13 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _lists(own[g, i], own[g, j][:, None], d[g, i, j][:, None])
 
 
+def _sample(images: DataFrame, total: int, rows: int) -> np.ndarray:
+    """Levels of the images with the smallest hashes of their ids."""
+    share = min(1.0, 1.2 * rows / max(1, total))
+    drawn = images.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_levels, "row_id long, levels binary")
+    return matrix(drawn.dropDuplicates(["row_id"]).orderBy(F.xxhash64("row_id")).limit(rows).select("levels").toArrow().column(0), PIXELS)
+
+
 def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, object]:
     """(vectors, graph, index): vectors (row_id, vec), graph (row_id, near, dist) of KEPT neighbours in order.
 
@@ -192,10 +203,7 @@ def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     """
     spark = images.sparkSession
     total = images.count()
-    share = min(1.0, 1.2 * FIT_ROWS / max(1, total))
-    drawn = images.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_levels, "row_id long, levels binary")
-    sample = drawn.dropDuplicates(["row_id"]).orderBy(F.xxhash64("row_id")).limit(FIT_ROWS).select("levels").toArrow()
-    index = spark.sparkContext.broadcast(Index(matrix(sample.column(0), PIXELS), total))
+    index = spark.sparkContext.broadcast(Index(_sample(images, total, FIT_ROWS), total))
     vectors = keep(images.mapInArrow(_project(index), "row_id long, vec binary, leaves array<long>").dropDuplicates(["row_id"]), "vectors")
     placed = vectors.select(F.explode("leaves").alias("k"), F.lit(0).cast("tinyint").alias("side"), "row_id", "vec")
     near = "row_id long, near array<long>, dist array<int>"
@@ -217,6 +225,149 @@ def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     return vectors, graph, index
 
 
+def _centres(x: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
+    out = x[rng.choice(len(x), min(count, len(x)), replace=False)]
+    for _ in range(rounds):
+        at = np.concatenate([((out * out).sum(1)[None] - 2 * x[i : i + 4096] @ out.T).argmin(1) for i in range(0, len(x), 4096)])
+        n, total = np.bincount(at, minlength=len(out)), np.zeros_like(out)
+        np.add.at(total, at, x)
+        out = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], out)
+    return out
+
+
+class Cells:
+    """Cells of about CELL images around centres in the projected space; an image is placed in its PLACED nearest.
+
+    Centres are fitted in groups around heads, so placing an image costs a look at all heads and at a few groups'
+    centres, whatever the number of cells.
+    """
+
+    def __init__(self, projected: np.ndarray, total: int, seed: int = 5):
+        x, rng = projected.astype(np.float32), np.random.default_rng(seed)
+        count = max(1, round(total / CELL))
+        self.heads = _centres(x, max(1, round(count / CENTRES)), rng)
+        near = np.concatenate([((self.heads**2).sum(1)[None] - 2 * x[i : i + 4096] @ self.heads.T).argmin(1) for i in range(0, len(x), 4096)])
+        self.heads = self.heads[np.unique(near)]
+        self.groups = [_centres(x[near == g], max(1, round(count * (near == g).mean())), rng) for g in np.unique(near)]
+        self.first = np.cumsum([0, *(len(g) for g in self.groups)])
+
+    def place(self, projected: np.ndarray) -> np.ndarray:
+        """n x PLACED cells, -1 where there are fewer."""
+        x = projected.astype(np.float32)
+        probed = min(PROBED, len(self.heads))
+        probe = np.argsort((self.heads**2).sum(1)[None] - 2 * x @ self.heads.T, axis=1, kind="stable")[:, :probed]
+        cost, cell = np.full((len(x), probed * PLACED), np.inf, np.float32), np.full((len(x), probed * PLACED), -1, np.int64)
+        for g in np.unique(probe).tolist():
+            rows, slot = np.nonzero(probe == g)
+            d = (self.groups[g] ** 2).sum(1)[None] - 2 * x[rows] @ self.groups[g].T
+            for n in range(min(PLACED, d.shape[1])):
+                at = d.argmin(1)
+                cost[rows, slot * PLACED + n], cell[rows, slot * PLACED + n] = d[np.arange(len(rows)), at], self.first[g] + at
+                d[np.arange(len(rows)), at] = np.inf
+        best = np.argsort(cost, axis=1, kind="stable")[:, :PLACED]
+        return np.take_along_axis(cell, best, 1)
+
+
+def _place(cells) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = np.concatenate([cells.value.place(p) for p in np.array_split(matrix(b.column(1), DIMS), -(-b.num_rows // 2048))])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * PLACED), pa.array(at.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, b.column(2)], ["row_id", "cells", "levels"])
+
+    return run
+
+
+def _measured_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each image's KEPT nearest by level distance within its cell (or the other block of its cell), ties to smaller ids.
+
+    Floats choose, with room for their rounding; what is chosen is measured again in integers.
+    """
+    for table, starts, ends in groups(batches):
+        ids, side, levels = table.column("row_id").to_numpy(), table.column("side").to_numpy(), matrix(table.column("levels"), PIXELS)
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            own, first = np.unique(ids[s:e], return_index=True)
+            x, half = levels[s:e][first], side[s:e][first]
+            y = x.astype(np.float32)
+            norm = (y * y).sum(axis=1)
+            parts = [np.flatnonzero(half == 0), np.flatnonzero(half == 1)]
+            mixed = len(parts[1]) > 0
+            for left, right in [(parts[0], parts[1]), (parts[1], parts[0])] if mixed else [(parts[0], parts[0])]:
+                k = min(KEPT, len(right) - (not mixed))
+                for i in range(0, len(left) if k > 0 else 0, 512):
+                    at = left[i : i + 512]
+                    d = y[at] @ y[right].T
+                    d *= -2
+                    d += norm[right][None]
+                    d += norm[at][:, None]
+                    if not mixed:
+                        d[np.arange(len(at)), at] = np.inf
+                    a, b = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 64)
+                    b = right[b]
+                    exact = np.concatenate([((x[at[a[j : j + 4096]]].astype(np.int32) - x[b[j : j + 4096]]) ** 2).sum(axis=1) for j in range(0, len(a), 4096)])
+                    o = np.lexsort((own[b], exact, a))
+                    a, b, exact = a[o], b[o], exact[o]
+                    head = np.searchsorted(a, np.arange(len(at)))
+                    kept = np.arange(len(a)) - head[a] < k
+                    yield _lists(own[at], own[b[kept]].reshape(-1, k), exact[kept].reshape(-1, k))
+
+
+def _spread(found: DataFrame, twins: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """(query, neighbours): from lists of representatives the k nearest of all images, as (d, row_id) in order.
+
+    found: (query, row_id, d) among representatives of equal content; twins: (rep, row_id) as ``copies`` gives them;
+    owners: (query, rep), the images that are asked for. A group of copies stands for its k + 1 smallest ids, of which
+    no list needs more; the group of the query itself is at distance 0.
+    """
+    members = twins.unionAll(twins.select("rep", F.col("rep").alias("row_id")).distinct())
+    least = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("row_id"))).where(F.col("n") <= k + 1)
+    least = keep(least.groupBy(F.col("rep").alias("row_id")).agg(F.collect_list("row_id").alias("ids")), "least")
+    rows = found.select("query", "row_id", F.col("d").cast("long").alias("d")).unionAll(least.select(F.col("row_id").alias("query"), "row_id", F.lit(0).cast("long").alias("d")))
+    rows = rows.join(least, "row_id", "left").select("query", F.explode(F.coalesce("ids", F.array("row_id"))).alias("row_id"), "d")
+    lists = rows.groupBy(F.col("query").alias("rep")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "row_id"))), 1, k + 1).alias("near"))
+    return owners.join(lists, "rep").select("query", F.slice(F.filter("near", lambda x: x["row_id"] != F.col("query")), 1, k).alias("neighbours"))
+
+
+def all_nearest(images: DataFrame, k: int = 10) -> DataFrame:
+    """(row_id, neighbour, distance, rank): the k most similar other images of every image, by exact level distance.
+
+    ``images``: what ``deliveries`` gives; k is at most KEPT. Images of equal content are represented by the smallest
+    id. Every representative is placed in the PLACED nearest of cells in the projected space, and every pair within a
+    cell is measured exactly; equal distances go to the smaller id. A neighbour that shares no cell with the image is
+    missed (recall in the README). Crowded cells are compared in blocks, so no pair of a cell is left out.
+    """
+    spark = images.sparkSession
+    total = images.count()
+    wanted = max(FIT_ROWS, FIT_EACH * round(total / CELL))
+    levels = _sample(images, total, FIT_ROWS)
+    index = Index(levels, 1)
+    shared = spark.sparkContext.broadcast(index)
+    drawn = index.project(levels)
+    if wanted > FIT_ROWS:
+        share = min(1.0, wanted / total)
+        drawn = matrix(images.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_project(shared), "row_id long, vec binary, leaves array<long>").select("vec").toArrow().column(0), DIMS)
+    if not len(drawn):
+        return spark.createDataFrame([], "row_id long, neighbour long, distance long, rank int")
+    cells = spark.sparkContext.broadcast(Cells(drawn, total))
+    table = keep(sketched(images.withColumn("side", F.lit(0).cast("tinyint")), lambda x: shared.value.project(x)), "levels")
+    twins = keep(copies(table).select("rep", "row_id"), "twins")
+    gone = twins.select("row_id")
+    rest = table.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "row_id", "left_anti")
+    side = F.lit(0).cast("tinyint").alias("side")
+    placed = rest.select("row_id", "sketch", "levels").mapInArrow(_place(cells), "row_id long, cells array<long>, levels binary")
+    keyed = placed.select(F.explode("cells").alias("k"), side, "row_id", "levels").where("k >= 0")
+    keys = rest.select("row_id", "sketch", F.lit(b"").alias("levels")).mapInArrow(_place(cells), "row_id long, cells array<long>, levels binary").select(F.explode("cells").alias("k"))
+    lists = bucketed(keyed, keys, 4 * LEAF).mapInArrow(_measured_lists, "row_id long, near array<long>, dist array<int>")
+    graph = keep(_best(lists), "graph")
+    found = graph.select(F.col("row_id").alias("query"), F.explode(F.arrays_zip("near", "dist")).alias("m")).select("query", F.col("m.near").alias("row_id"), F.col("m.dist").alias("d"))
+    own = table.select(F.col("row_id").alias("query")).distinct().join(twins.select(F.col("row_id").alias("query"), "rep"), "query", "left").select("query", F.coalesce("rep", "query").alias("rep"))
+    out = _spread(found, twins, own, k).select(F.col("query").alias("row_id"), F.posexplode("neighbours").alias("rank", "m"))
+    out = keep(out.select("row_id", F.col("m.row_id").alias("neighbour"), F.col("m.d").alias("distance"), (F.col("rank") + 1).alias("rank")), "nearest")
+    release(table, twins, graph)
+    return out
+
+
 def _distances(queries) -> object:
     """Projected distances of candidate vectors to their queries: (query, row_id, d)."""
 

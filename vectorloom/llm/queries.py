@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .clusters import cluster_report, image_clusters
 from .fuzzy import fuzzy_groups, fuzzy_pairs
 from .leakage import leak_report, leaked_items
-from .neighbours import both_splits, build_graph, nearest
+from .neighbours import all_nearest, both_splits, nearest
 from .overlap import cross_split_pairs, overlap_report
 from .packing import pack, sizes
 from .quota import image_pool, quota_report, quota_sample
@@ -59,8 +59,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_graph(spark: SparkSession, d: str) -> DataFrame:
-    _, graph, _ = build_graph(both_splits(_t(spark, d, "train_images"), _t(spark, d, "test_images")))
-    return graph.select("row_id", F.posexplode("near").alias("rank", "neighbour")).withColumn("rank", F.col("rank") + 1).where("rank <= 10")
+    return all_nearest(both_splits(_t(spark, d, "train_images"), _t(spark, d, "test_images"))).select("row_id", "rank", "neighbour")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
