@@ -168,6 +168,20 @@ def test_graph_query_is_exact(spark, tmp_path):
     assert got == {i: [n for n, _ in near] for i, near in exact_neighbours(rows).items()}
 
 
+def test_nearest_among_many_copies(spark):
+    """A group of copies larger than the graph's lists: the smallest ids come out, for a copy and for an image beside it."""
+    x = drawings(60, 8, 12)
+    beside = x[0].copy()
+    beside[beside > 0] -= 1
+    rows = [(500 + i, v) for i, v in enumerate(x)] + [(1000 - i, x[0]) for i in range(60)] + [(3, beside)]
+    asked = [3, 500, 970, 1000, 530]
+    got = {}
+    for r in neighbours.nearest(neighbours.both_splits(frame(spark, rows[:80]), frame(spark, rows[80:])), spark.createDataFrame([(i,) for i in asked], "query long")).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["neighbour"], r["distance"]))
+    want = exact_neighbours(rows)
+    assert got == {i: want[i] for i in asked}
+
+
 def test_cells_in_blocks(spark, monkeypatch):
     """Crowded cells cut into blocks give the same neighbours; several cells miss few."""
     x = drawings(300, 6, 12)

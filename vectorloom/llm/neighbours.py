@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ TREES, LEAF = 3, 900
 KEPT, JOINED, ROUNDS = 12, 4, 1
 #: Greedy search: rounds, nodes expanded in each, and candidates measured exactly.
 SEARCH, EXPANDED, MEASURED = 3, 64, 300
+#: So many ids, of 8 bytes each, may be broadcast.
+BROADCAST_IDS = 1_000_000
 #: Queries searched together; their projections and levels, 832 bytes each, are what is broadcast.
 QUERY_BLOCK = 20_000
 #: The whole table: images a cell should hold, cells an image is placed in, images that each cell's centre is fitted on.
@@ -84,6 +88,9 @@ class Index:
         return out
 
 
+PROJECTED = "row_id long, vec binary, leaves array<long>, h1 long, h2 long"
+
+
 def _project(index) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +99,9 @@ def _project(index) -> object:
                 p = index.value.project(levels)
                 leaves = index.value.leaves(p)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * TREES), pa.array(leaves.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), fixed_binary(p), lists], ["row_id", "vec", "leaves"])
+                digest = np.frombuffer(b"".join([hashlib.blake2b(row, digest_size=16).digest() for row in levels]), np.int64).reshape(-1, 2)
+                h1, h2 = (pa.array(np.ascontiguousarray(digest[:, i])) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), fixed_binary(p), lists, h1, h2], ["row_id", "vec", "leaves", "h1", "h2"])
 
     return run
 
@@ -194,8 +203,11 @@ def _sample(images: DataFrame, total: int, rows: int) -> np.ndarray:
     return matrix(drawn.dropDuplicates(["row_id"]).orderBy(F.xxhash64("row_id")).limit(rows).select("levels").toArrow().column(0), PIXELS)
 
 
-def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, object]:
-    """(vectors, graph, index): vectors (row_id, vec), graph (row_id, near, dist) of KEPT neighbours in order.
+def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, graph, twins): vectors (row_id, vec), graph (row_id, near, dist) of KEPT neighbours in order.
+
+    Both are over representatives: of images with equal content the one with the smallest id. twins (rep, row_id) are
+    the others.
 
     Seeded by brute force within the leaves of random projection trees, then improved by NN-descent rounds: a node's
     nearest JOINED neighbours, and as many nodes of which it is one, are joined at the node and compared with each
@@ -204,7 +216,16 @@ def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     spark = images.sparkSession
     total = images.count()
     index = spark.sparkContext.broadcast(Index(_sample(images, total, FIT_ROWS), total))
-    vectors = keep(images.mapInArrow(_project(index), "row_id long, vec binary, leaves array<long>").dropDuplicates(["row_id"]), "vectors")
+    each = keep(images.mapInArrow(_project(index), PROJECTED).dropDuplicates(["row_id"]), "each")
+    twins = keep(copies(each.withColumn("side", F.lit(0).cast("tinyint"))).select("rep", "row_id"), "twins")
+    gone = twins.select("row_id")
+    few = gone.count() <= BROADCAST_IDS
+    vectors = each.join(F.broadcast(gone) if few else gone, "row_id", "left_anti").select("row_id", "vec", "leaves")
+    if few:
+        vectors._vectorloom_path = each._vectorloom_path  # read through the broadcast ids, released with its table
+    else:
+        vectors = keep(vectors, "vectors")
+        release(each)
     placed = vectors.select(F.explode("leaves").alias("k"), F.lit(0).cast("tinyint").alias("side"), "row_id", "vec")
     near = "row_id long, near array<long>, dist array<int>"
     graph = keep(_best(bucketed(placed, placed.select("k"), 4 * LEAF).mapInArrow(_leaf_lists, near)), "graph")
@@ -222,7 +243,7 @@ def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
         new = keep(_best(graph.unionAll(better)), "graph")
         release(graph)
         graph = new
-    return vectors, graph, index
+    return vectors, graph, twins
 
 
 def _centres(x: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -346,14 +367,14 @@ def all_nearest(images: DataFrame, k: int = 10) -> DataFrame:
     drawn = index.project(levels)
     if wanted > FIT_ROWS:
         share = min(1.0, wanted / total)
-        drawn = matrix(images.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_project(shared), "row_id long, vec binary, leaves array<long>").select("vec").toArrow().column(0), DIMS)
+        drawn = matrix(images.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_project(shared), PROJECTED).select("vec").toArrow().column(0), DIMS)
     if not len(drawn):
         return spark.createDataFrame([], "row_id long, neighbour long, distance long, rank int")
     cells = spark.sparkContext.broadcast(Cells(drawn, total))
     table = keep(sketched(images.withColumn("side", F.lit(0).cast("tinyint")), lambda x: shared.value.project(x)), "levels")
     twins = keep(copies(table).select("rep", "row_id"), "twins")
     gone = twins.select("row_id")
-    rest = table.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "row_id", "left_anti")
+    rest = table.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "row_id", "left_anti")
     side = F.lit(0).cast("tinyint").alias("side")
     placed = rest.select("row_id", "sketch", "levels").mapInArrow(_place(cells), "row_id long, cells array<long>, levels binary")
     keyed = placed.select(F.explode("cells").alias("k"), side, "row_id", "levels").where("k >= 0")
@@ -412,18 +433,23 @@ def nearest(images: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
     candidates by projected distance are then measured exactly. Equal distances go to the smaller id.
 
     Queries are searched in blocks, whose vectors are all that is broadcast. A small share of neighbours is missed
-    (measured in the README). Queries that are no valid image give nothing; an image has fewer than k neighbours only
+    (measured in the README). Images of equal content are one node of the graph; what is found is expanded to their
+    smallest ids after the exact measurement. Queries that are no valid image give nothing; an image has fewer than k neighbours only
     if there are fewer images; repeated deliveries and repeated queries count once.
     """
-    vectors, graph, _ = build_graph(images)
-    asked = keep(wanted.select("query").where("query is not null").distinct().join(vectors, F.col("query") == F.col("row_id")).select("query", "vec"), "asked")
+    vectors, graph, twins = build_graph(images)
+    rep = twins.select(F.col("row_id").alias("query"), "rep")
+    owners = keep(wanted.select(F.col("query").cast("long").alias("query")).where("query is not null").distinct().join(rep, "query", "left").select("query", F.coalesce("rep", "query").alias("rep")), "owners")
+    asked = keep(owners.select(F.col("rep").alias("query")).distinct().join(vectors, F.col("query") == F.col("row_id")).select("query", "vec"), "asked")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
+    found = []
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else asked
-        found = _search(images, vectors, graph, part, k)
-        out = found if out is None else out.unionAll(found)
-    release(vectors, graph, asked)
+        found.append(_search(images, vectors, graph, part, k))
+    every = reduce(DataFrame.unionAll, found).select("query", F.col("neighbour").alias("row_id"), F.col("distance").alias("d"))
+    out = _spread(every, twins, owners, k).select("query", F.posexplode("neighbours").alias("rank", "m"))
+    out = keep(out.select("query", F.col("m.row_id").alias("neighbour"), F.col("m.d").alias("distance"), (F.col("rank") + 1).alias("rank")), "nearest")
+    release(vectors, graph, asked, owners, twins, *found)
     return out
 
 
@@ -448,7 +474,7 @@ def _search(images: DataFrame, vectors: DataFrame, graph: DataFrame, part: DataF
         seen = new
     best = keep(_top(seen, MEASURED).groupBy("row_id").agg(F.collect_list("query").alias("queries")), "candidates")
     ids = best.select("row_id").unionAll(part.select(F.col("query").alias("row_id"))).distinct()
-    small = ids.count() <= 1_000_000  # 8 bytes each
+    small = ids.count() <= BROADCAST_IDS
     near = images.join(F.broadcast(ids) if small else ids, "row_id", "left_semi").mapInArrow(_levels, "row_id long, levels binary")
     near = keep(near, "levels")
     own = near.join(F.broadcast(part.select(F.col("query").alias("row_id"))), "row_id", "left_semi").dropDuplicates(["row_id"])
