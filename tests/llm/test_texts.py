@@ -55,6 +55,21 @@ def test_leaks(spark, items):
     assert report["s"]["leaked"] == 6 and report["t"]["leaked"] == 0
 
 
+def test_leaks_of_least_size(spark, items):
+    """Two stretches of 8 words with misread letters, against verification of every pair: nine in ten come out."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(60):
+        w = passage(i % 12).split()
+        a = rng.randrange(0, 16)
+        text = " ".join(w[a : a + 8]) + "\nzzz xkxkx pgz bnbn yyy\n" + " ".join(w[a + 14 : a + 22])
+        texts.append("".join(rng.choice("abcdeghiklmnoprstu") if c.isalpha() and rng.random() < 0.03 else c for c in text))
+    held = lambda text, p: leakage.Passage(p).held(leakage.Document(text)) >= leakage.Passage(p).needed()
+    want = {(d, i) for d, text in enumerate(texts) for i in range(12) if held(text, passage(i))}
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(docs(spark, texts), items.where("item_id < 50")).collect()}
+    assert len(want) > 20 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_leaks_of_nothing(spark, items):
     assert leakage.leaked_items(docs(spark, []), items).count() == 0
     assert leakage.leaked_items(docs(spark, ["x"]), items.limit(0)).count() == 0

@@ -100,18 +100,16 @@ def _walks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def window_keys(signs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window starts, keys n x TABLES). Windows begin at word starts, at those that a hash of three signs selects.
+    """(window starts, keys n x TABLES). Windows begin at every word start.
 
     CGK embedding: a pointer walks over the signs; step t writes the sign under it and advances by a random bit of
     (t, sign), the same for all texts. Two texts fall into step again after an edit, so a small edit distance becomes a
     small Hamming distance; each table hashes the signs written at its sampled steps.
     """
     advance, pick, mix = _walks()
-    pad = np.concatenate([signs, np.zeros(STEPS + 3, np.uint8)])
+    pad = np.concatenate([signs, np.zeros(STEPS, np.uint8)])
     at = np.flatnonzero(starts)
     at = at[at < len(signs) - STEPS // 3]
-    head = pad[at].astype(np.int64) * 7 + pad[at + 1] * 31 + pad[at + 2] * 101
-    at = at[(head * 40503 >> 5) & 1 == 0]
     keys = np.zeros((TABLES, len(at)), np.int64)
     ptr = at.copy()
     with np.errstate(over="ignore"):
