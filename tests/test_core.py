@@ -165,6 +165,14 @@ def test_tree_and_forest(spark, xor):
     assert big.tree_count == 3 and {r["predicted"] for r in big.predict(xor).collect()} <= {10, 20}
 
 
+def test_large_forest_draws_features(spark):
+    """Some roots may only look at the second feature, which tells less than the first."""
+    df = table(spark, [(i, i % 7) for i in range(24)], [int(i >= 12) for i in range(24)])
+    f = trees.RandomForestClassifier(12, 1, max_features=1, seed=3).fit(df, one_task_bytes=0)
+    assert {t[0][0] for t in f.trees} == {0, 1}
+    assert {t[0][0] for t in trees.RandomForestClassifier(12, 1, max_features=2, seed=3).fit(df, one_task_bytes=0).trees} == {0}
+
+
 GOLD = {"sgd": (0.073142, 0.622678), "momentum": (0.137269, 0.565270), "nesterov": (0.192665, 0.518928), "rmsprop": (1.809096, 0.026477), "adam": (0.149688, 0.554620), "adamw": (0.149613, 0.554684)}
 
 

@@ -76,15 +76,16 @@ def grow(x: np.ndarray, y: np.ndarray, max_depth: int, min_split: int, min_leaf:
     return nodes
 
 
-def best_splits(df: DataFrame, by: list[str], min_leaf: int = 1, features_col: str = "features", label_col: str = "label", weight: Column | None = None) -> DataFrame:
+def best_splits(df: DataFrame, by: list[str], min_leaf: int = 1, features_col: str = "features", label_col: str = "label", weight: Column | None = None, subset: str | None = None) -> DataFrame:
     """by + (feature, threshold, gain): the best split of every group, with gains rounded to 7 places before ties go to
     the smaller feature and threshold.
 
     Rows are counted per distinct value before they travel. A group's features are windows of their own, so what one
-    task sorts is the distinct values of one feature, not the rows.
+    task sorts is the distinct values of one feature, not the rows. subset: a column with the features to look at.
     """
     w = F.lit(1).cast("double") if weight is None else weight.cast("double")
-    cells = df.select(*by, F.col(label_col).alias("y"), w.alias("w"), F.posexplode(vec.double(features_col)).alias("feature", "x")).groupBy(*by, "feature", "x", "y").agg(F.sum("w").alias("c"))
+    each = df.select(*by, *([subset] if subset else []), F.col(label_col).alias("y"), w.alias("w"), F.posexplode(vec.double(features_col)).alias("feature", "x"))
+    cells = (each.where(F.array_contains(subset, F.col("feature"))) if subset else each).groupBy(*by, "feature", "x", "y").agg(F.sum("w").alias("c"))
     key = [*by, "feature"]
     up_to = Window.partitionBy(*key, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     classes = df.select(*by, F.col(label_col).alias("y")).groupBy(*by).agg(F.collect_set("y").alias("ys"))
@@ -101,8 +102,11 @@ def best_splits(df: DataFrame, by: list[str], min_leaf: int = 1, features_col: s
     return best.select(*by, F.col("m.feature").alias("feature"), F.col("m.threshold").alias("threshold"), (-F.col("m.g")).alias("gain"))
 
 
-def grow_by_level(df: DataFrame, trees: int, max_depth: int, min_split: int, min_leaf: int) -> list[list[Node]]:
-    """Trees of df(tree_id, weight, features, label), all at once, one level a round; the driver holds only nodes."""
+def grow_by_level(df: DataFrame, trees: int, max_depth: int, min_split: int, min_leaf: int, width: int = 0, max_features: int = 0, seed: int = 0) -> list[list[Node]]:
+    """Trees of df(tree_id, weight, features, label), all at once, one level a round; the driver holds only nodes.
+
+    If max_features is between 0 and width, every node draws so many features of its own, as ``grow`` does.
+    """
     out: list[list[list]] = [[] for _ in range(trees)]
     data = df.select("tree_id", "weight", vec.double("features").alias("features"), F.col("label").cast("int").alias("label"), F.lit(0).alias("node")).persist()
     open_ = {(t, 0) for t in range(trees)}
@@ -117,8 +121,10 @@ def grow_by_level(df: DataFrame, trees: int, max_depth: int, min_split: int, min
         grow_ = [k for k, r in stats.items() if k in open_ and depth < max_depth and r["n"] >= min_split and r["classes"] > 1]
         if not grow_:
             break
-        going = df.sparkSession.createDataFrame([(t, n) for t, n in grow_], "tree_id int, node int")
-        splits = best_splits(data.join(F.broadcast(going), ["tree_id", "node"]), ["tree_id", "node"], min_leaf, weight=F.col("weight")).where(F.col("gain") >= -TIE).collect()
+        few = 0 < max_features < width
+        own = lambda t, n: np.random.default_rng([seed + t, n]).permutation(width)[:max_features].tolist() if few else None
+        going = df.sparkSession.createDataFrame([(t, n, own(t, n)) for t, n in grow_], "tree_id int, node int, subset array<int>")
+        splits = best_splits(data.join(F.broadcast(going), ["tree_id", "node"]), ["tree_id", "node"], min_leaf, weight=F.col("weight"), subset="subset" if few else None).where(F.col("gain") >= -TIE).collect()
         open_, rows = set(), []
         for r in splits:
             t, node = r["tree_id"], r["node"]
@@ -236,7 +242,7 @@ class RandomForestClassifier(Model):
         data = df.select(F.col(id_col).alias("row_id"), vec.double(features_col).alias("features"), F.col(label_col).cast("int").alias("label"))
         spark = df.sparkSession
         if rows * width * 8 > one_task_bytes:
-            self.trees = grow_by_level(rng.bootstrap_weights(data, self.count, self.seed), self.count, self.max_depth, self.min_split, self.min_leaf)
+            self.trees = grow_by_level(rng.bootstrap_weights(data, self.count, self.seed), self.count, self.max_depth, self.min_split, self.min_leaf, width, self.max_features or max(1, int(width**0.5)), self.seed)
             return self
         table = data.orderBy("row_id").toArrow().combine_chunks().to_batches()[0]
         shared = spark.sparkContext.broadcast((stack(table), table.column(2).to_numpy(zero_copy_only=False)))
