@@ -227,6 +227,14 @@ def test_quota_shares_floors_and_shortage(spark):
     assert not report[1, 2]["met"] and report[1, 2]["available"] == 4 and report[2, 1]["met"] and not report[3, 2]["met"]
 
 
+def test_quota_floors_that_take_seats(spark):
+    """Floors of other labels take the seats of a label with rows enough: its target is missed, though it is not short."""
+    n, report = sample(spark, {0: 200, 1: 200, 2: 200}, [(1, 0, 0.5, 100, 0), (1, 1, 0.25, 100, 40), (1, 2, 0.25, 100, 40)])
+    assert n == {(1, 0): 20, (1, 1): 40, (1, 2): 40}
+    got = {k: (r["wanted"], r["drawn"], r["met"], r["short"]) for k, r in report.items()}
+    assert got == {(1, 0): (50, 20, False, False), (1, 1): (40, 40, True, False), (1, 2): (40, 40, True, False)}
+
+
 def test_quota_edges(spark):
     n, report = sample(spark, {0: 5}, [(1, 0, None, 3, None), (1, 9, 0.5, 3, 1), (None, 0, 1.0, 3, 0), (2, 0, 0.1, 2, 4)])
     assert n == {(2, 0): 4} and report[1, 9]["available"] == 0 and not report[1, 9]["met"]

@@ -147,6 +147,25 @@ def test_split_is_whole(text):
         assert all(core - start >= 124 or b" " in data[max(0, core - 129) : core] or b"\n" in data[max(0, core - 129) : core] for start, core, _, _ in pieces[1:])
 
 
+@pytest.mark.parametrize("size", [1920, 1921, 1985, 2000, 2048])
+def test_split_keeps_words_that_fit(size):
+    """A word of up to the limit is never cut inside; what its piece repeats is shortened where it must be."""
+    data = ("some words before " * 60 + "w" * size + " and behind" * 100).encode()
+    pieces = splitting.split_text(data)
+    assert all(b" " in data[core - 1 : core + 1] and not forced for _, core, _, forced in pieces[1:])
+    assert all(end - start <= 2048 for start, _, end, _ in pieces) and b"".join(data[c:e] for _, c, e, _ in pieces) == data
+
+
+def test_reports(spark):
+    df = docs(spark, ["a" * 5000, "b " * 2000, "short", None, ""])
+    got = {r["cut"]: r for r in splitting.split_report(splitting.split_documents(df)).collect()}
+    assert (got["forced"]["texts"], got["forced"]["tokens"], got["natural"]["tokens"]) == (1, 5000, 4000)
+    assert max(r["longest"] for r in got.values()) <= 2048 and all(r["repeated"] > 0 for r in got.values())
+    r = packing.pack_report(packing.pack(packing.sizes(df))).first()
+    assert (r["items"], r["tokens"], r["overfull"]) == (4, 9005, 0) and 0 < r["fill"] <= 1
+    assert packing.pack_report(packing.pack(packing.sizes(df.limit(0)))).first()["containers"] == 0
+
+
 def test_split_prefers_lines():
     text = ("some words of a line that goes on for a while and a bit\n" * 100).encode()
     assert all(text[end - 1 : end] == b"\n" for _, _, end, _ in splitting.split_text(text))

@@ -136,3 +136,15 @@ def _packer_with_offsets(capacity: int, attention: float):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(offset)], [*b.schema.names, "offset"])
 
     return run
+
+
+def pack_report(packed: DataFrame, capacity: int = CAPACITY, attention: float = 1.0) -> DataFrame:
+    """(containers, items, tokens, fill, cost, deviation, overfull): how full and how evenly costly the containers are.
+
+    ``fill`` is the share of all room that is used; ``cost`` and ``deviation`` are of the containers' estimated cost;
+    ``overfull`` counts containers above the capacity, which must be 0. No containers give one row of zeros and nulls.
+    """
+    n = F.col("tokens").cast("double")
+    boxes = packed.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"), F.sum(n + n * n * (attention / capacity)).alias("cost"))
+    all_ = boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.avg("cost").alias("cost"), F.stddev_pop("cost").alias("deviation"), F.coalesce(F.sum((F.col("tokens") > capacity).cast("long")), F.lit(0)).alias("overfull"))
+    return all_.select("containers", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("tokens") / (F.col("containers") * capacity)).alias("fill"), "cost", "deviation", "overfull")

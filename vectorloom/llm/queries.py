@@ -12,9 +12,9 @@ from .fuzzy import fuzzy_groups, fuzzy_pairs
 from .leakage import leak_report, leaked_items
 from .neighbours import all_nearest, both_splits, nearest
 from .overlap import cross_split_pairs, overlap_report
-from .packing import pack, sizes
+from .packing import pack, pack_report, sizes
 from .quota import image_pool, quota_report, quota_sample
-from .splitting import split_documents
+from .splitting import split_documents, split_report
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,8 +40,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    report = quota_report(image_pool(_t(spark, d, "train_images"), _t(spark, d, "train_labels")), _t(spark, d, "sample_targets"), sampled=False)
-    return report.where("not met").select("plan_id", "label")
+    """Targets that the drawn sample misses for want of rows."""
+    return p3_report(spark, d).where("not met and short").select("plan_id", "label")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +78,10 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(sizes(_t(spark, d, "documents")))
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack_report(p6_pack(spark, d)).select("items", "tokens", "overfull")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -95,6 +99,10 @@ def p8_split(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(_t(spark, d, "documents"))
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_report(p8_split(spark, d)).select("cut", "texts", "tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
@@ -114,10 +122,14 @@ POOL = f"""
         greatest(min_rows, CAST(round(target_share * sample_size) AS BIGINT)) AS wanted
         FROM sample_targets t LEFT JOIN have ON have.label = t.label)"""
 
+CUT = "CASE WHEN len(list_filter(regexp_split_to_array(text, '[ \n]'), lambda w: strlen(w) > 2048)) > 0 THEN 'forced' ELSE 'natural' END AS cut"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": POOL + " SELECT plan_id, label FROM want WHERE available < wanted",
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
-        "p8_found": "SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(text, '[ \n]'), lambda w: strlen(w) > 2048)) > 0 THEN 'forced' ELSE 'natural' END AS cut FROM documents WHERE strlen(text) > 2048",
+        "p6_report": "SELECT CAST(sum(ceil(strlen(text) / 4096.0)) AS BIGINT) AS items, CAST(sum(strlen(text)) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull FROM documents WHERE strlen(text) > 0",
+        "p8_report": f"SELECT cut, count(*) AS texts, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT strlen(text) AS tokens, {CUT} FROM documents WHERE strlen(text) > 2048) GROUP BY cut",
+        "p8_found": f"SELECT doc_id, {CUT} FROM documents WHERE strlen(text) > 2048",
     }

@@ -43,10 +43,10 @@ def ranked(pool: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     """(plan_id, label, share, size, floor, row_id, rank): every row of the pool in the random order of its label in each plan.
 
     The order is that of a hash of plan, seed and id; ties go by id. No label is ranked in one task: rows are ranked
-    within 256 ranges of their random number, and the ranges' counts are summed to offsets.
+    within 1,024 ranges of their random number, and the ranges' counts are summed to offsets.
     """
     drawn = pool.join(plan_cells(targets), "label").withColumn("draw", F.xxhash64("plan_id", F.lit(seed), "row_id"))
-    drawn = drawn.withColumn("slot", F.shiftrightunsigned("draw", 56).cast("int")).withColumn("u", F.col("draw").bitwiseAND((1 << 56) - 1))
+    drawn = drawn.withColumn("slot", F.shiftrightunsigned("draw", 54).cast("int")).withColumn("u", F.col("draw").bitwiseAND((1 << 54) - 1))
     counts = drawn.groupBy("plan_id", "label", "slot").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("plan_id", "label").orderBy("slot")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("plan_id", "label", "slot").orderBy("u", "row_id"))
@@ -80,20 +80,20 @@ def chosen(rows: DataFrame) -> DataFrame:
     return rows.where("held").select(cols).unionAll(seats.select(cols))
 
 
-def quota_report(pool: DataFrame, targets: DataFrame, seed: int = 11, sampled: bool = True) -> DataFrame:
-    """(plan_id, label, available, wanted, drawn, met): wanted is the larger of the floor and the rounded share.
+def quota_report(pool: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
+    """(plan_id, label, available, wanted, drawn, met, short): what the drawn sample gives against the targets.
 
-    ``available`` is the last rank of the label, ``met`` whether it reaches what is wanted; labels without rows have 0.
-    Without ``sampled`` the sample is not drawn and ``drawn`` is left out.
+    ``wanted`` is the larger of the floor and the rounded share, ``drawn`` the rows of the label in the sample and
+    ``met`` whether they reach what is wanted. A target is missed either because the label is ``short`` (``available``,
+    its last rank, is below what is wanted) or because other labels' floors took its seats or rounding did.
     """
     rows, key = ranked(pool, targets, seed), ["plan_id", "label"]
     have = rows.groupBy(key).agg(F.max("rank").alias("available"))
-    out = plan_cells(targets).join(have, key, "left")
-    if sampled:
-        out = out.join(chosen(rows).groupBy(key).agg(F.count(F.lit(1)).alias("drawn")), key, "left")
+    took = chosen(rows).groupBy(key).agg(F.count(F.lit(1)).alias("drawn"))
+    out = plan_cells(targets).join(have, key, "left").join(took, key, "left").fillna(0, ["available", "drawn"])
     wanted = F.greatest("floor", F.round(F.col("share") * F.col("size")).cast("long"))
-    cols = [*key, F.coalesce("available", F.lit(0)).alias("available"), wanted.alias("wanted"), *([F.coalesce("drawn", F.lit(0)).alias("drawn")] if sampled else [])]
-    return out.select(*cols).withColumn("met", F.col("available") >= F.col("wanted"))
+    out = out.select(*key, "available", wanted.alias("wanted"), "drawn")
+    return out.withColumn("met", F.col("drawn") >= F.col("wanted")).withColumn("short", F.col("available") < F.col("wanted"))
 
 
 def image_pool(images: DataFrame, labels: DataFrame) -> DataFrame:

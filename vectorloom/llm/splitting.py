@@ -16,10 +16,11 @@ WORD, SENTENCE, LINE, BLANK = 1, 2, 3, 4
 _SEGMENT = re.compile(rb"[^ \n]*(?:[ \n]+|$)")
 
 
-def _segments(text: bytes, limit: int) -> list[tuple[int, int, int, bool]]:
+def _segments(text: bytes, limit: int, room: int) -> list[tuple[int, int, int, bool]]:
     """Atomic segments (start, end, strength of the boundary at the end, forced): words with the space behind them.
 
-    A stretch without space or line end above the limit is cut into pieces of the limit, at character ends.
+    Only a stretch without space or line end above ``limit`` is cut by force, at character ends into pieces of ``room``,
+    which leaves them space for an overlap. Space that does not fit behind its word is a segment of its own.
     """
     out = []
     for m in _SEGMENT.finditer(text):
@@ -30,12 +31,18 @@ def _segments(text: bytes, limit: int) -> list[tuple[int, int, int, bool]]:
         word = gap.rstrip(b" \n")
         ends = gap[len(word) :]
         strength = BLANK if ends.count(b"\n") > 1 else LINE if b"\n" in ends else SENTENCE if word[-1:] in (b".", b"!", b"?") else WORD
-        while e - s > limit:
-            cut = s + limit
-            while cut > s + 1 and (text[cut] & 0xC0) == 0x80:
-                cut -= 1
-            out.append((s, cut, 0, True))
-            s = cut
+        if len(word) > limit:
+            while s + len(word) > s + room:
+                cut = s + room
+                while cut > s + 1 and (text[cut] & 0xC0) == 0x80:
+                    cut -= 1
+                out.append((s, cut, 0, True))
+                word, s = word[cut - s :], cut
+        if e - s > limit:
+            at = s + len(word) if word else s + room
+            while e - s > limit:
+                out.append((s, at, WORD, False))
+                s, at = at, at + room
         out.append((s, e, strength, False))
     return out
 
@@ -59,13 +66,14 @@ def split_text(text: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
 
     Begin with atomic segments and hold adjacent pairs in a heap by the strength of the boundary between them, weakest
     first, then by combined size, then by place. A pair merges while its combined size plus the overlap fits the
-    limit; the first piece repeats nothing, so it may use the whole limit. ``forced`` marks pieces that begin within a
-    stretch without any space or line end.
+    limit; the first piece repeats nothing, so it may use the whole limit. A single segment between that and the limit
+    stays whole, and what its piece repeats is shortened to what still fits. ``forced`` marks pieces that begin within
+    a stretch without any space or line end.
     """
     if len(text) <= limit:
         return [(0, 0, len(text), False)] if text else []
     room = limit - overlap
-    seg = _segments(text, room)
+    seg = _segments(text, limit, room)
     n = len(seg)
     start, end = [s[0] for s in seg], [s[1] for s in seg]
     left, right, strength = list(range(-1, n - 1)), [*range(1, n), -1], [s[2] for s in seg]
@@ -93,24 +101,23 @@ def split_text(text: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     i = 0
     while i >= 0:
         at = start[i]
-        out.append((at if not out else _overlap_start(text, at, out[-1][0], overlap), at, end[i], at in cut))
+        out.append((at if not out else _overlap_start(text, at, out[-1][0], min(overlap, limit - (end[i] - at))), at, end[i], at in cut))
         i = right[i]
     return out
 
 
-def _splitter(limit: int, overlap: int, natural: int):
-    stretch = re.compile(rb"[^ \n]{%d,}" % (natural + 1))
-
+def _splitter(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             at, rows = [], []
             for i in range(batch.num_rows):
                 text = texts[i].as_py().encode("utf-8", "surrogatepass")
-                forced = stretch.search(text) is not None
-                for k, (s, core, e, _) in enumerate(split_text(text, limit, overlap)):
+                pieces = split_text(text, limit, overlap)
+                cut = "forced" if any(p[3] for p in pieces) else "natural"
+                for k, (s, core, e, _) in enumerate(pieces):
                     at.append(i)
-                    rows.append((k, s, core - s, e - s, "forced" if forced else "natural", text[s:e].decode("utf-8", "surrogatepass")))
+                    rows.append((k, s, core - s, e - s, cut, text[s:e].decode("utf-8", "surrogatepass")))
                 if len(rows) >= 2000:
                     yield _batch(ids, at, rows)
                     at, rows = [], []
@@ -130,9 +137,19 @@ def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, piece, start, repeated, tokens, cut, text): the pieces of every text above ``limit`` tokens, in order.
 
     ``start`` and ``tokens`` count UTF-8 bytes; the first ``repeated`` tokens of a piece are the last of the one before.
-    ``cut`` is forced if the text has a stretch without space or line end above the limit, else natural. Texts are
-    cut independently, so this is one pass without a shuffle. Null, empty and short texts give no rows.
+    ``cut`` is forced if a piece of the text begins within a stretch without space or line end, which only stretches
+    above the limit make necessary, else natural. Texts are cut independently, so this is one pass without a shuffle.
+    Null, empty and short texts give no rows.
     """
     long = df.where(F.octet_length(text_col) > limit).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(long.dtypes)["doc_id"]
-    return long.mapInArrow(_splitter(limit, overlap, limit), f"doc_id {kind}, piece int, start long, repeated long, tokens long, cut string, text string")
+    return long.mapInArrow(_splitter(limit, overlap), f"doc_id {kind}, piece int, start long, repeated long, tokens long, cut string, text string")
+
+
+def split_report(pieces: DataFrame) -> DataFrame:
+    """(cut, texts, pieces, tokens, repeated, longest): the pieces of all texts against their texts, by kind of cut.
+
+    ``tokens`` are those of the texts, that is without what pieces repeat.
+    """
+    core = F.col("tokens") - F.col("repeated")
+    return pieces.groupBy("cut").agg(F.sum((F.col("piece") == 0).cast("long")).alias("texts"), F.count(F.lit(1)).alias("pieces"), F.sum(core).alias("tokens"), F.sum("repeated").alias("repeated"), F.max("tokens").alias("longest"))
