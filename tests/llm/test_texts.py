@@ -67,7 +67,41 @@ def test_leaks_of_least_size(spark, items):
     held = lambda text, p: leakage.Passage(p).held(leakage.Document(text)) >= leakage.Passage(p).needed()
     want = {(d, i) for d, text in enumerate(texts) for i in range(12) if held(text, passage(i))}
     got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(docs(spark, texts), items.where("item_id < 50")).collect()}
-    assert len(want) > 20 and got <= want and len(got) >= 0.9 * len(want)
+    assert len(want) > 20 and got <= want and len(got) >= 0.95 * len(want)
+
+
+SCRIPTS = {
+    "ru": "старый маяк стоял над гаванью много зим пока рыбаки чинили сети и ждали тихой погоды у каменной стены рядом с рынком",
+    "el": "το παλιό φανάρι στεκόταν πάνω από το λιμάνι πολλούς χειμώνες ενώ οι ψαράδες έφτιαχναν δίχτυα και περίμεναν ήσυχο καιρό κοντά στην αγορά",
+    "zh": "旧灯塔在港口上方站了许多个冬天渔夫们修补渔网等待平静的天气石墙旁边就是集市",
+    "hi": "पुराना दीपस्तंभ बंदरगाह के ऊपर कई सर्दियों तक खड़ा रहा जबकि मछुआरे जाल सुधारते रहे और बाज़ार के पास शांत मौसम की प्रतीक्षा करते रहे",
+}
+
+
+def test_leaks_in_other_scripts(spark):
+    rows = [(i, p) for i, p in enumerate(SCRIPTS.values())]
+    items = spark.createDataFrame(rows, "item_id long, passage string")
+    texts = [f"{passage(60)}\n{p[: len(p) // 2].upper()}\n{p[len(p) // 2 :]}\n{passage(61)}" for p in SCRIPTS.values()]
+    texts.append("\n".join(" ".join(sorted(p.split())) if " " in p else p[::-1] for p in SCRIPTS.values()))
+    texts.append(__import__("unicodedata").normalize("NFD", SCRIPTS["el"]))
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(docs(spark, texts), items).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 1)}
+
+
+def test_leaks_by_join(spark, items):
+    """Without the items in the tasks, and with every key spread, the rows are the same; one passage is in most documents."""
+    texts = ["\n".join(lines(passage(i % 2) + " " + passage(100 + i))) for i in range(30)] + [passage(200 + i) for i in range(5)] + ["\n".join(lines(passage(5)))]
+    near = {tuple(r) for r in leakage.leaked_items(docs(spark, texts), items).collect()}
+    joined = {tuple(r) for r in leakage.leaked_items(docs(spark, texts), items, index_keys=0, spread=4).collect()}
+    assert near == joined and len({r[0] for r in near}) == 31
+    assert leakage.leaked_items(docs(spark, texts), items.limit(0), index_keys=-1).count() == 0
+
+
+def test_tables_reach_the_target():
+    p = 1 - (1 - leakage.AGREEING**leakage.SAMPLED) ** leakage.TABLES
+    hits = np.random.default_rng(2).binomial(leakage.PLACES, p, 200_000)
+    assert (hits >= leakage.SEEDS).mean() >= leakage.RECALL - 0.001
+    assert leakage.tables_for(0.9) < leakage.tables_for(0.999)
 
 
 def test_leaks_of_nothing(spark, items):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,81 +23,137 @@ FOLD = {
     "2": "2", "3": "3", "4": "4", "6": "6", "7": "7", "8": "8",
 }
 SIGNS = "einbksgpxyz234678"
-#: Walk steps (half as many signs on average), tables of sampled steps, sampled steps a table, seed.
-STEPS, TABLES, SAMPLED, SEED = 48, 3, 36, 17
+#: Signs are bytes: those of SIGNS first, all other letters of all scripts hashed to the rest.
+CODES = 256
+#: Walk steps (half as many signs on average) and sampled steps a table: a window is about half the shortest stretch.
+STEPS, SAMPLED, SEED = 48, 36, 17
 #: A candidate shares windows that begin at so many places of the passage, in so many places of the document.
 SEEDS = 4
+#: A smallest case has about so many windows in its stretches; this share of their steps agrees where 3 % of the letters
+#: are misread; the share of such cases that is to become candidates.
+PLACES, AGREEING, RECALL = 8, 0.97, 0.995
+
+
+def tables_for(recall: float = RECALL, agreeing: float = AGREEING, places: int = PLACES, seeds: int = SEEDS) -> int:
+    """Tables of sampled steps for a target recall: the fewest with which at least ``seeds`` of ``places`` windows meet.
+
+    A window meets in a table if all SAMPLED steps agree, and tables are taken as independent.
+    """
+    from math import comb
+
+    for tables in range(1, 65):
+        p = 1 - (1 - agreeing**SAMPLED) ** tables
+        if sum(comb(places, n) * p**n * (1 - p) ** (places - n) for n in range(seeds, places + 1)) >= recall:
+            return tables
+    return 64
+
+
+TABLES = tables_for()
 #: Fixed size of the key filter that documents' keys pass before they travel: 2**24 bits, 2 MB.
 FILTER_BITS = 24
+#: Items are looked up within the tasks that read the documents up to so many keys (16 bytes each) and bytes of passages.
+INDEX_KEYS, INDEX_BYTES = 2_000_000, 1 << 26
+#: A key of more documents than this is spread over several tasks.
+SPREAD = 50_000
 #: A stretch is a run of item words; it counts from so many words.
 STRETCH, LEAST_WORDS, LEAST_SHARE = 8, 14, 0.4
 #: So many signs of other columns, adverts and headlines may stand between two lines of a stretch: some ten lines.
 BETWEEN = 600
 GRAM = 6
+#: Signs of the passage that may be unreadable between two pieces of a stretch, within a line and where other matter parts them.
+UNREAD, UNREAD_APART = 14, 10
+_GAP, _LETTER, _MARK, _WORD = 0, 1, 2, 3
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte: its first and second sign (0: none), by the byte's value; for bytes after C3, C4 and C5 too."""
-    code = {c: i + 1 for i, c in enumerate(SIGNS)}
-    first, second = np.zeros((4, 256), np.uint8), np.zeros((4, 256), np.uint8)
-    import unicodedata
-
-    def put(lead: int, byte: int, char: str) -> None:
-        base = unicodedata.normalize("NFKD", char.casefold())
-        signs = "".join(FOLD.get(c, "") for c in base)
+class _Signs:
+    """For every code point its kind and its first and second sign (0: none), worked out when it is first met."""
+
+    def __init__(self):
+        self.kind, self.first, self.second = (np.zeros(0x110000, np.uint8) for _ in range(3))
+        self.known = np.zeros(0x110000, bool)
+        self.code = {c: i + 1 for i, c in enumerate(SIGNS)}
+        for c in range(0x250):
+            self.put(c)
+
+    def put(self, point: int) -> None:
+        """Letters and digits of any script count, after compatibility decomposition and without case and accents.
+
+        Signs of scripts that are written without spaces between words are words of their own.
+        """
+        self.known[point] = True
+        char = chr(point)
+        if unicodedata.category(char)[0] == "M":
+            self.kind[point] = _MARK
+            return
+        signs = []
+        for c in unicodedata.normalize("NFKD", char.casefold()).casefold():
+            if c in FOLD:
+                signs += [self.code[x] for x in FOLD[c]]
+            elif unicodedata.category(c)[0] in "LN":
+                signs.append(len(SIGNS) + 1 + ord(c) % (CODES - len(SIGNS) - 1))
         if signs:
-            first[lead, byte] = code[signs[0]]
-            second[lead, byte] = code[signs[1]] if len(signs) > 1 else 0
+            spaceless = 0x0E00 <= point < 0x0F00 or 0x1000 <= point < 0x10A0 or 0x1780 <= point < 0x1800 or 0x3040 <= point < 0xA000 or 0xF900 <= point < 0xFB00 or point >= 0x20000
+            self.kind[point] = _WORD if spaceless else _LETTER
+            self.first[point], self.second[point] = signs[0], signs[1] if len(signs) > 1 else 0
+
+    def learn(self, points: np.ndarray) -> None:
+        for c in np.unique(points[~self.known[points]]).tolist():
+            self.put(c)
+
+
+@lru_cache(maxsize=1)
+def _signs() -> _Signs:
+    return _Signs()
 
-    for b in range(128):
-        put(0, b, chr(b))
-    for lead, top in ((1, 0xC3), (2, 0xC4), (3, 0xC5)):
-        for b in range(0x80, 0xC0):
-            put(lead, b, bytes([top, b]).decode())
-    for c in ("!", "|"):  # inside words these are misread letters; alone they are dropped below
-        first[0, ord(c)] = code["i"]
-    lead = np.zeros(256, np.uint8)
-    lead[0xC3], lead[0xC4], lead[0xC5] = 1, 2, 3
-    return first, second, lead
 
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def fold(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of UTF-8 text as folded signs, each with the position of its byte, and whether it begins a word.
+
+def fold(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points as folded signs, each with its position, and whether it begins a word.
 
     Spaces, line ends, hyphens and other punctuation vanish, so broken words, words run together and lines do not
-    matter; case, accents and common misreadings are folded.
+    matter; case, accents and common misreadings are folded; letters of other scripts stay what they are.
     """
-    first, second, lead = _tables()
-    before = np.zeros_like(data)
-    before[1:] = lead[data[:-1]]
-    one, two = first[before, data], second[before, data]
-    letter = one > 0
-    bar = (data == ord("|")) | (data == ord("!"))
+    table = _signs()
+    table.learn(text)
+    kind = table.kind[text]
+    place = None
+    if (kind == _MARK).any():
+        place = np.flatnonzero(kind != _MARK)
+        text, kind = text[place], kind[place]
+    letter = kind != _GAP
+    bar = (text == ord("|")) | (text == ord("!"))
     if bar.any():  # only between letters
         prev, nxt = np.r_[False, letter[:-1] & ~bar[:-1]], np.r_[letter[1:] & ~bar[1:], False]
         letter &= ~bar | (prev & nxt)
     at = np.flatnonzero(letter)
-    gap = np.ones(len(at), bool)
+    begins = np.ones(len(at), bool)
     if len(at):
-        gap[1:] = np.diff(at) > 1 + (before[at[1:]] > 0)
-    twice = two[at] > 0
+        begins[1:] = (np.diff(at) > 1) | (kind[at[1:]] == _WORD)
+    one, two = table.first[text[at]], table.second[text[at]]
+    twice = two > 0
     count = 1 + twice
-    signs = np.repeat(one[at], count)
     end = np.cumsum(count) - 1
-    signs[end[twice]] = two[at][twice]
+    signs = np.repeat(one, count)
+    signs[end[twice]] = two[twice]
     starts = np.zeros(len(signs), bool)
-    starts[(end - count + 1)[gap]] = True
-    return signs, np.repeat(at, count), starts
+    starts[(end - count + 1)[begins]] = True
+    return signs, np.repeat(at if place is None else place[at], count), starts
 
 
 @lru_cache(maxsize=1)
-def _walks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _walks() -> tuple[np.ndarray, np.ndarray]:
+    """(steps x signs: whether the walk goes on; steps x tables: odd factors of the sampled steps, 0 for the others)."""
     rng = np.random.default_rng(SEED)
-    advance = rng.integers(0, 2, (STEPS, len(SIGNS) + 1)).astype(np.int64)
-    pick = np.stack([np.sort(rng.permutation(STEPS)[:SAMPLED]) for _ in range(TABLES)])
-    pick[0, :] = np.arange(SAMPLED)  # one table of the walk's beginning: errors behind it do not matter
-    return advance, pick, rng.integers(1, 2**62, (TABLES, STEPS)) | 1
+    advance = rng.integers(0, 2, (STEPS, CODES)).astype(np.int64)
+    mix = np.zeros((STEPS, TABLES), np.int64)
+    for k in range(TABLES):
+        # The first table samples the walk's beginning: errors behind it do not matter.
+        pick = np.arange(SAMPLED) if k == 0 else rng.permutation(STEPS)[:SAMPLED]
+        mix[pick, k] = rng.integers(1, 2**62, SAMPLED) | 1
+    return advance, mix
 
 
 def window_keys(signs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +163,7 @@ def window_keys(signs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     (t, sign), the same for all texts. Two texts fall into step again after an edit, so a small edit distance becomes a
     small Hamming distance; each table hashes the signs written at its sampled steps.
     """
-    advance, pick, mix = _walks()
+    advance, mix = _walks()
     pad = np.concatenate([signs, np.zeros(STEPS, np.uint8)])
     at = np.flatnonzero(starts)
     at = at[at < len(signs) - STEPS // 3]
@@ -115,9 +172,9 @@ def window_keys(signs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         for t in range(STEPS):
             c = pad[ptr]
-            for k in range(TABLES):
-                if t in pick[k]:
-                    keys[k] += c * mix[k, t]
+            wide = c.astype(np.int64)
+            for k in np.flatnonzero(mix[t]).tolist():
+                keys[k] += wide * mix[t, k]
             ptr += advance[t][c]
         for k in range(TABLES):
             keys[k] ^= keys[k] >> 31
@@ -126,51 +183,50 @@ def window_keys(signs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return at, keys.T
 
 
-_SEPARATOR = re.compile(rb" {3,}[|]? *| *[|] +")
+_SEPARATOR = re.compile(r" {3,}[|]? *| *[|] +")
 
 
-def readings(text: bytes) -> bytes:
+def readings(text: str) -> str:
     """A text followed by another reading of its lines, in case columns were read across.
 
     If lines hold column separators (three blanks or a bar), the left and then the right parts; else every other line
     and then those between. A text of one or two lines has one reading.
     """
-    lines = text.split(b"\n")
+    lines = text.split("\n")
     if len(lines) < 3:
         return text
-    if b"   " in text or b"| " in text:
-        parts = [_SEPARATOR.split(x.strip(b" |"), maxsplit=1) for x in lines]
+    if "   " in text or "| " in text:
+        parts = [_SEPARATOR.split(x.strip(" |"), maxsplit=1) for x in lines]
         if sum(len(p) > 1 for p in parts) > 1:
-            return b"\n".join([text, *(p[0] for p in parts), *(p[1] for p in parts if len(p) > 1)])
-    return b"\n".join([text, *lines[::2], *lines[1::2]])
+            return "\n".join([text, *(p[0] for p in parts), *(p[1] for p in parts if len(p) > 1)])
+    return "\n".join([text, *lines[::2], *lines[1::2]])
 
 
-def _text_block(column: pa.Array, columns: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column with a blank after every text, and where each text starts."""
-    parts = [bytes(s.as_buffer()) if s.is_valid else b"" for s in column]
-    if columns:
-        parts = [readings(p) for p in parts]
-    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    return data, np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, keys) of all windows of some texts."""
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    signs, pos, starts = fold(points(" ".join(texts) + " "))
+    where, keys = window_keys(signs, starts)
+    return np.searchsorted(bounds, pos[where], "right") - 1 if len(where) else np.zeros(0, np.int64), where, keys
 
 
 def _keyed(bits: np.ndarray | None):
+    """For mapInArrow over (id, text): (id, key, at) of all windows; of documents, those whose keys pass the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                data, bounds = _text_block(batch.column(1), bits is not None)
-                signs, pos, starts = fold(data)
-                where, keys = window_keys(signs, starts)
-                doc = np.searchsorted(bounds, pos[where], "right") - 1 if len(where) else np.zeros(0, np.int64)
+                texts = batch.column(1).to_pylist()
+                own, where, keys = _windows(texts if bits is None else [readings(t) for t in texts])
                 for k in range(TABLES):
-                    key, own, w = keys[:, k], doc, where
+                    key, o, w = keys[:, k], own, where
                     if bits is not None and len(key):
                         slot = (key & ((1 << FILTER_BITS) - 1)).astype(np.int64)
                         hit = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
-                        key, own, w = key[hit], own[hit], w[hit]
+                        key, o, w = key[hit], o[hit], w[hit]
                     if len(key):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(key), pa.array(w)], ["id", "key", "at"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(o)), pa.array(key), pa.array(w)], ["id", "key", "at"])
 
     return run
 
@@ -198,7 +254,7 @@ def edit_distance(a: bytes, b: bytes) -> int:
 def _codes(signs: np.ndarray) -> np.ndarray:
     code = np.zeros(max(0, len(signs) - GRAM + 1), np.int64)
     for i in range(GRAM):
-        code = code * (len(SIGNS) + 1) + signs[i : i + len(code)]
+        code = code * CODES + signs[i : i + len(code)]
     return code
 
 
@@ -206,7 +262,7 @@ class Document:
     """A document's signs with its grams in sorted order, made once for all its candidate items."""
 
     def __init__(self, text: str):
-        signs, _, _ = fold(np.frombuffer(text.encode("utf-8", "surrogatepass") or b" ", np.uint8))
+        signs, _, _ = fold(points(text))
         code = _codes(signs)
         self.text = signs.tobytes()
         self.order = np.argsort(code, kind="stable")
@@ -217,11 +273,12 @@ class Passage:
     """An item made ready for verification."""
 
     def __init__(self, text: str):
-        self.signs, _, starts = fold(np.frombuffer(text.encode("utf-8", "surrogatepass") or b" ", np.uint8))
+        self.signs, _, starts = fold(points(text))
         self.begin = np.flatnonzero(starts)
         self.words = len(self.begin)
         self.code = _codes(self.signs)
         self.word_of = np.cumsum(starts) - 1
+        self.size = np.bincount(self.word_of, minlength=self.words)
 
     def needed(self) -> float:
         return max(LEAST_WORDS, LEAST_SHARE * self.words)
@@ -243,9 +300,8 @@ class Passage:
         d = j - i
         order = np.lexsort((i, d))
         i, j, d = i[order], j[order], d[order]
-        new = np.r_[True, (np.diff(d) != 0) | (np.diff(i) > GRAM + 10)]
-        head = np.flatnonzero(new)
-        tail = np.r_[head[1:], len(i)] - 1
+        turn = np.flatnonzero((d[1:] != d[:-1]) | (i[1:] - i[:-1] > GRAM + 10))
+        head, tail = np.concatenate([[0], turn + 1]), np.concatenate([turn, [len(i) - 1]])
         long = i[tail] - i[head] + GRAM >= 8
         head, tail = head[long], tail[long]
         reach = np.zeros(len(self.signs) + 1, np.int32)
@@ -266,59 +322,155 @@ class Passage:
                 c = [a, b, s, e]
                 chains.append(c)
                 open_.append(c)
+        chains = [c for c in chains if c[3] - c[2] >= 14]
+        # Chains that are too few even if all of them count need no edit distance.
+        if self._held_by(chains).sum() < self.needed():
+            return 0
         text, own = doc.text, self.signs.tobytes()
-        good = [c for c in chains if c[3] - c[2] >= 14 and edit_distance(text[c[0] : c[1]], own[c[2] : c[3]]) <= 0.25 * max(c[1] - c[0], c[3] - c[2])]
+        good = [c for c in chains if edit_distance(text[c[0] : c[1]], own[c[2] : c[3]]) <= 0.25 * max(c[1] - c[0], c[3] - c[2])]
         group = list(range(len(good)))
         for b, (start, _, s, _) in enumerate(good):  # chains are in document order
             for a in range(b):
-                if -4 <= s - good[a][3] <= 14 and -4 <= start - good[a][1] <= BETWEEN:
+                apart = start - good[a][1]
+                if -4 <= apart <= BETWEEN and -4 <= s - good[a][3] <= (UNREAD if apart <= UNREAD else UNREAD_APART):
                     old, new = group[b], group[a]
                     group = [new if g == old else g for g in group]
-        size = np.bincount(self.word_of, minlength=self.words)
         held = np.zeros(self.words, bool)
         for g in set(group):
-            covered = np.zeros(len(self.signs), bool)
-            for k, c in enumerate(good):
-                if group[k] == g:
-                    covered[c[2] : c[3]] = True
-            # A word is held if half of it is covered: its first signs may be broken off at a line end.
-            have = np.bincount(self.word_of, weights=covered, minlength=self.words)
-            edge = np.flatnonzero(np.diff(np.r_[False, have * 2 >= size, False].astype(np.int8)))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                if b - a >= STRETCH:
-                    held[a:b] = True
+            held |= self._held_by([c for k, c in enumerate(good) if group[k] == g])
         return int(held.sum())
 
+    def _held_by(self, chains: list[list[int]]) -> np.ndarray:
+        """Which words of the passage some chains hold in stretches of STRETCH or more.
+
+        A word is held if half of it is covered: its first signs may be broken off at a line end.
+        """
+        edge = np.zeros(len(self.signs) + 1, np.int32)
+        for c in chains:
+            edge[c[2]] += 1
+            edge[c[3]] -= 1
+        have = np.bincount(self.word_of, weights=edge[:-1].cumsum() > 0, minlength=self.words)
+        run = np.zeros(self.words + 2, np.int8)
+        run[1:-1] = have * 2 >= self.size
+        turn = np.flatnonzero(run[1:] != run[:-1])
+        held = np.zeros(self.words, bool)
+        for a, b in zip(turn[::2].tolist(), turn[1::2].tolist()):
+            if b - a >= STRETCH:
+                held[a:b] = True
+        return held
+
+
+class Index:
+    """Items ready for look-up: window keys in order, with the passage and the place each belongs to, and the passages."""
+
+    def __init__(self, item_ids: list[int], passages: list[str]):
+        self.passages = sorted(set(passages))
+        number = {p: i for i, p in enumerate(self.passages)}
+        self.items: list[list[int]] = [[] for _ in self.passages]
+        for item, p in zip(item_ids, passages):
+            self.items[number[p]].append(item)
+        own, where, keys = _windows(self.passages)
+        flat = keys.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        slot = flat & ((1 << FILTER_BITS) - 1)
+        np.bitwise_or.at(self.bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        self.keys, self.own, self.at = flat[order], np.tile(own, TABLES)[order].astype(np.int32), np.tile(where, TABLES)[order].astype(np.int32)
+
+    def candidates(self, texts: list[str], seeds: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, passage) that share windows at ``seeds`` places or more of both."""
+        doc, where, keys = _windows([readings(t) for t in texts])
+        pair, there, here = [], [], []
+        for k in range(TABLES if len(self.keys) else 0):
+            slot = keys[:, k] & ((1 << FILTER_BITS) - 1)
+            hit = np.flatnonzero(self.bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            low = np.searchsorted(self.keys, keys[hit, k], "left")
+            n = np.searchsorted(self.keys, keys[hit, k], "right") - low
+            slot = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair.append(np.repeat(doc[hit], n) * len(self.passages) + self.own[slot])
+            there.append(np.repeat(where[hit], n))
+            here.append(self.at[slot])
+        if not pair:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair, there, here = (np.concatenate(x) for x in (pair, there, here))
+        both = [_distinct(pair, x) for x in (there, here)]
+        pairs = both[0][0][np.minimum(both[0][1], both[1][1]) >= seeds]
+        return pairs // max(1, len(self.passages)), pairs % max(1, len(self.passages))
+
+
+def _distinct(pair: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order, with how many different places each has."""
+    order = np.lexsort((place, pair))
+    pair, place = pair[order], place[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (place[1:] != place[:-1])
+    return np.unique(pair[new], return_counts=True)
+
+
+LEAKS = "doc_id long, item_id long, held int, words int"
+
+
+def _leaks(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "held", "words"])
+
+
+def _search(shared, seeds: int):
+    """For mapInArrow over (doc_id, text): candidates are looked up and verified where the document is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = shared.value, {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                rows, last, doc = [], -1, None
+                for i, p in zip(*(x.tolist() for x in index.candidates(texts, seeds))):
+                    if i != last:
+                        last, doc = i, Document(texts[i])
+                    if p not in known:
+                        known[p] = Passage(index.passages[p])
+                    held = known[p].held(doc)
+                    if held >= known[p].needed():
+                        rows += [(ids[i], item, held, known[p].words) for item in index.items[p]]
+                if rows:
+                    yield _leaks(rows)
+
+    return run
+
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (doc_id, text, item_id, passage) in the order of documents."""
     known: dict[str, Passage] = {}
+    last, doc = None, None
     for batch in batches:
         ids, texts, items, passages = (batch.column(i) for i in range(4))
-        out_at, out_item, out_held, out_words = [], [], [], []
+        rows = []
         for i in range(batch.num_rows):
-            doc = Document(texts[i].as_py())
-            for item, passage in zip(items[i].as_py(), passages[i].as_py()):
-                if passage not in known:
-                    if len(known) > 5000:
-                        known.clear()
-                    known[passage] = Passage(passage)
-                p = known[passage]
-                held = p.held(doc)
-                if held >= p.needed():
-                    out_at.append(i)
-                    out_item.append(item)
-                    out_held.append(held)
-                    out_words.append(p.words)
-        if out_at:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_at)), pa.array(out_item, pa.int64()), pa.array(out_held, pa.int32()), pa.array(out_words, pa.int32())], ["doc_id", "item_id", "held", "words"])
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", seeds: int = SEEDS) -> DataFrame:
+            key, passage = (ids[i].as_py(), texts[i].as_py()), passages[i].as_py()
+            if key != last:
+                last, doc = key, Document(key[1])
+            if passage not in known:
+                if len(known) > 5000:
+                    known.clear()
+                known[passage] = Passage(passage)
+            held = known[passage].held(doc)
+            if held >= known[passage].needed():
+                rows.append((key[0], items[i].as_py(), held, known[passage].words))
+        if rows:
+            yield _leaks(rows)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", seeds: int = SEEDS, index_keys: int = INDEX_KEYS, spread: int = SPREAD) -> DataFrame:
     """(doc_id, item_id, held, words): items of which a document holds enough words in stretches of 8 or more.
 
-    Documents and passages are folded to signs without spaces. Windows at word starts are embedded by a CGK walk and
-    hashed by bit sampling in three tables; document keys pass a filter of fixed size and are joined with the
-    items' keys; pairs that share windows at ``seeds`` places or more of both are verified exactly (``Passage.held``).
+    Documents and passages are folded to signs without spaces, whatever their script. Windows at word starts are
+    embedded by a CGK walk and hashed by bit sampling in as many tables as ``tables_for`` the target recall; pairs that
+    share windows at ``seeds`` places or more of both are verified exactly (``Passage.held``).
+
+    Up to ``index_keys`` keys of items, the items' keys are sent to the tasks that read the documents, which look up
+    and verify in one pass without a shuffle. Beyond that, documents' keys pass a filter of fixed size and are joined
+    with the items' keys; keys of more than ``spread`` document windows are spread over several tasks. Both ways give
+    the same rows.
 
     Every document and passage is processed whole. Null and blank texts hold nothing; null ids take no part; items
     with the same passage are reported each; a repeated row counts once; empty tables give an empty result. Ids must be
@@ -326,14 +478,27 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", tex
     """
     passages = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(passage_col).alias("passage")).where("item_id is not null and passage is not null").distinct()
     texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    # No passage has more windows than characters, so this bounds the keys before any is made.
+    size = passages.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("windows"), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)).alias("bytes")).first()
+    if size["windows"] * TABLES <= index_keys and size["bytes"] <= INDEX_BYTES:
+        own = passages.orderBy("item_id").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(Index(own.column(0).to_pylist(), own.column(1).to_pylist()))
+        return texts.mapInArrow(_search(shared, seeds), LEAKS).dropDuplicates(["doc_id", "item_id"])
     item_keys = keep(passages.mapInArrow(_keyed(None), "id long, key long, at long").select(F.col("id").alias("item_id"), "key", F.col("at").alias("item_at")).dropDuplicates(["item_id", "key"]), "items")
     bits = _filter(item_keys)
-    hits = texts.mapInArrow(_keyed(bits), "id long, key long, at long").select(F.col("id").alias("doc_id"), "key", "at")
-    seed = hits.join(item_keys, "key").groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("there"), F.count_distinct("item_at").alias("here"))
-    found = seed.where(F.least("there", "here") >= seeds)
-    candidates = keep(found.join(passages, "item_id").groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.collect_list("passage").alias("passages")), "candidates")
-    wanted = texts.join(candidates, "doc_id").select("doc_id", "text", "items", "passages")
-    return wanted.mapInArrow(_verify, "doc_id long, item_id long, held int, words int").dropDuplicates(["doc_id", "item_id"])
+    hits = keep(texts.mapInArrow(_keyed(bits), "id long, key long, at long").select(F.col("id").alias("doc_id"), "key", "at"), "hits")
+    # Both sides of a hot key are spread: a document's windows go to one of its parts, an item's to all of them.
+    heavy = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > spread).select("key", F.ceil(F.col("n") / spread).cast("int").alias("parts"))
+    one = F.coalesce("parts", F.lit(1))
+    there = hits.join(heavy, "key", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), one).cast("int")).drop("parts")
+    here = item_keys.join(heavy, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    seed = there.join(here, ["key", "part"]).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("there"), F.count_distinct("item_at").alias("here"))
+    found = keep(seed.where(F.least("there", "here") >= seeds).select("doc_id", "item_id"), "candidates")
+    release(hits, item_keys)
+    wanted = found.join(passages, "item_id").join(texts, "doc_id").select("doc_id", "text", "item_id", "passage").sortWithinPartitions("doc_id")
+    leaks = keep(wanted.mapInArrow(_verify, LEAKS).dropDuplicates(["doc_id", "item_id"]), "leaks")
+    release(found)
+    return leaks
 
 
 def _filter(item_keys: DataFrame) -> np.ndarray:
