@@ -80,6 +80,37 @@ def test_clusters(spark, dirty):
     assert {(r["cluster_id"], r["size"]) for r in report} == {(v, size[v]) for _, v in got} and all(1 <= r["rank"] <= 3 for r in report)
 
 
+def test_clusters_of_one_frequency(spark):
+    """Images whose whole difference lies in one low frequency, far beyond what groups them, are linked up to the reach."""
+    base = np.full(784, 120.0)
+    wave = images.cosine_basis(64)[:, 2]
+    rows = [(i, np.round(base + wave * length)) for i, length in enumerate((0, 660, -660))]
+    want = brute(rows, 450_000, False)
+    assert want == {(0, 1), (0, 2)} and clusters.GROUPED < 430_000
+    assert {tuple(r) for r in clusters.image_clusters(frame(spark, rows)).collect()} == {(0, 0), (1, 0), (2, 0)}
+    small = [(i, np.round(base + wave * length)) for i, length in enumerate((0, 400, -400))]
+    assert clusters.image_clusters(frame(spark, small)).count() == 3
+
+
+def test_clusters_against_brute_force(spark):
+    """Noise of every size around a few drawings, so that many pairs lie on either side of the reach."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i, v in enumerate(drawings(5, 11)):
+        for j in range(12):
+            noise = rng.normal(0, rng.uniform(8, 22), 784)
+            rows.append((100 * i + j, np.clip(np.round(v + noise), 0, 255)))
+    links = brute(rows, 450_000, False)
+    label = {i: i for i, _ in rows}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    size = {v: sum(1 for x in label.values() if x == v) for v in label.values()}
+    got = {tuple(r) for r in clusters.image_clusters(frame(spark, rows)).collect()}
+    want = {(i, v) for i, v in label.items() if size[v] >= 3}
+    assert got <= want and len(got) >= 0.95 * len(want) > 20
+
+
 def test_clusters_in_blocks(spark):
     """A crowded cell cut into blocks gives the same clusters."""
     v = drawings(1)[0]
@@ -92,8 +123,59 @@ def test_fuzzy(spark, dirty):
     found = fuzzy.fuzzy_pairs(frame(spark, dirty))
     got = [tuple(r) for r in found.collect()]
     assert set(got) == brute(dirty, 80_000, True) and len(got) == len(set(got))
-    groups = {r["row_id"]: r["group_id"] for r in fuzzy.fuzzy_groups(found).collect()}
-    assert groups[7] == groups[8] == 6
+    groups = {r["row_id"]: (r["group_id"], r["links"]) for r in fuzzy.fuzzy_groups(frame(spark, dirty)).collect()}
+    assert groups[7][0] == groups[8][0] == 6
+    assert {i: n for i, (_, n) in groups.items()} == {i: sum(i in p for p in got) for i in {i for p in got for i in p}}
+
+
+def faint():
+    """Twelve images with about 2 % of their pixels lit, at 60."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((12, 784), np.uint8)
+    for row in x:
+        row[rng.choice(784, rng.integers(8, 17), replace=False)] = 60
+    return [(i, v) for i, v in enumerate(x)]
+
+
+def test_faint_images(spark):
+    """Images of little ink, which differ by much of what they have, are compared like any others."""
+    rows = faint()
+    want = brute(rows, 80_000, True)
+    assert len(want) >= 14
+    assert {tuple(r) for r in fuzzy.fuzzy_pairs(frame(spark, rows)).collect()} == want
+    got = overlap.cross_split_pairs(frame(spark, rows[:6]), frame(spark, rows[6:]))
+    assert {(r["train_row_id"], r["test_row_id"]) for r in got.collect()} == {(a, b) for a, b in want if a < 6 <= b}
+
+
+def test_amplitudes_bound_the_distance(base):
+    """No near-same pair is further apart by its amplitudes than the bound allows, with ink at the edge too."""
+    rng = np.random.default_rng(4)
+    full = rng.integers(0, 256, (6, 784)).astype(np.uint8)
+    for one in [*base[:4], *full]:
+        for place in PLACEMENTS:
+            two = np.clip(moved(one[None], *place)[0].astype(int) + rng.integers(-9, 10, 784), 0, 255).astype(np.uint8)[None]
+            d = ((moved(one[None].astype(int), *place) - two) ** 2).sum()
+            edge = max(images.edges(one[None])[0], images.edges(two)[0])
+            apart = np.sqrt(((images.amplitudes(one[None]) - images.amplitudes(two)) ** 2).sum())
+            assert apart <= np.sqrt(d) + edge + 0.1
+            s, t = (images.spectrum(x)[0].astype(float) for x in (one[None], two))
+            assert images.SPECTRUM_STEP * np.sqrt(((s - t)[:84] ** 2).sum()) <= np.sqrt(d) + images.SPECTRUM_STEP * np.sqrt(84) + images.EDGE_STEP * max(s[84], t[84])
+
+
+def test_many_equal_images(spark):
+    """5,000 equal images and one near them: groups count their links, pairs are made in parts, nothing is lost."""
+    v = drawings(1)[0]
+    near = v.copy()
+    near[300] ^= 1
+    rows = frame(spark, [(7, near), (8, v)]).unionAll(frame(spark, [(0, v)]).select(F.explode(F.sequence(F.lit(100).cast("long"), F.lit(5097).cast("long"))).alias("row_id"), *SCHEMA.replace(",", "").split()[2::2]))
+    groups = fuzzy.fuzzy_groups(rows).groupBy("group_id", "links").count().collect()
+    assert {tuple(r) for r in groups} == {(7, 4999, 5000)}
+    found, same = fuzzy.fuzzy_classes(rows)
+    assert found.count() == 1 and same.count() == 4998
+    few = rows.where("row_id < 150")
+    pairs = fuzzy.with_copies(found.select("a", "b").unionAll(same.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()), same.where("row_id < 150"), limit=7).where("a <> b or left < right")
+    n = few.count()
+    assert pairs.select(F.least("left", "right"), F.greatest("left", "right")).distinct().count() == pairs.count() == n * (n - 1) // 2
 
 
 def test_golay_covers_the_space():

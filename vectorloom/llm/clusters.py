@@ -7,18 +7,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import bucketed, groups, local_labels, sketch_ties, squared
+from .blocks import TIES, bucketed, groups, local_labels, paired_levels, sketch_ties, squared, with_levels
 from .components import components
 from .images import COSINE_SIZE, COSINE_STEP, PIXELS, copies, cosine_sketch, deliveries, fixed_binary, matrix, representatives, sketched
 from .storage import keep, release
 
 #: Each grid quantises its own subset of the cosine coefficients of an image.
 GRIDS, DIMENSIONS, WIDTH, SEED = 7, 14, 220.0, 7
-#: Coefficients that travel with a cell, and the squared distance over them up to which cell mates may be linked.
-SENT, SENT_REACH = 44, 42_000
+#: Coefficients that travel with a cell. They are principal ones, fitted on at most so many images, those with the
+#: smallest hashes of their ids; any orthonormal basis bounds distances from below, so the fit decides the work only.
+SENT, FIT_ROWS = 128, 20_000
+#: Squared distance over them up to which cell mates are grouped; those beyond, up to the bound, are measured pair by pair.
+GROUPED = 240_000
 
 
 @lru_cache(maxsize=4)
@@ -45,11 +48,46 @@ def long_lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sketch = matrix(batch.column(1), COSINE_SIZE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), fixed_binary(sketch[:, :SENT]), long_lists(cells(sketch))], ["row_id", "sketch", "cells"])
+class Principal:
+    """Coefficients in an orthonormal basis as bytes, with a step of each its own; far ones are cut off at the ends."""
+
+    def __init__(self, sample: np.ndarray):
+        x = sample.astype(np.float32)
+        self.mean = x.mean(axis=0) if len(x) else np.zeros(PIXELS, np.float32)
+        values, vectors = np.linalg.eigh(np.cov(x - self.mean, rowvar=False) if len(x) > 1 else np.eye(PIXELS))
+        self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :SENT]).astype(np.float32)
+        self.step = np.maximum(2.0, np.sqrt(np.maximum(values[::-1][:SENT], 0)) * 3 / 127).astype(np.float32)
+
+    def sketch(self, levels: np.ndarray) -> np.ndarray:
+        """Bytes whose distances, times the steps, bound those of the images from below, up to rounding by a step each."""
+        return np.clip((levels.astype(np.float32) - self.mean) @ self.basis / self.step + 128.5, 0, 255).astype(np.uint8)
+
+
+def fit_sample(table: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
+    """Levels of at most ``rows`` images, those with the smallest hashes of their ids."""
+    share = min(1.0, 1.2 * rows / max(1, table.count()))
+    drawn = table.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("row_id", "levels").dropDuplicates(["row_id"])
+    return matrix(drawn.orderBy(F.xxhash64("row_id")).limit(rows).select("levels").toArrow().column(0), PIXELS)
+
+
+def _place(principal=None):
+    """For mapInArrow over (row_id, levels): the cells of every image and, with ``principal``, its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                levels = matrix(batch.column(1), PIXELS)
+                found = [batch.column(0), long_lists(cells(cosine_sketch(levels)))]
+                if principal is not None:
+                    found.append(fixed_binary(principal.value.sketch(levels)))
+                yield pa.RecordBatch.from_arrays(found, ["row_id", "cells", "sketch"][: len(found)])
+
+    return run
+
+
+def _no_sketch(levels: np.ndarray) -> np.ndarray:
+    return np.zeros((len(levels), 0), np.uint8)
 
 
 def linked(x: np.ndarray, reach: int) -> np.ndarray:
@@ -79,6 +117,17 @@ def _links(reach: int):
     return run
 
 
+def _linked_pairs(reach: int):
+    """For mapInArrow over ``paired_levels``: the pairs that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = np.square(matrix(batch.column(2), PIXELS).astype(np.int32) - matrix(batch.column(5), PIXELS)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(d <= reach))
+
+    return run
+
+
 def image_clusters(df: DataFrame, id_col: str = "row_id", features_col: str = "features", reach: int = 450_000, least: int = 3, block: int = 2048) -> DataFrame:
     """(row_id, cluster_id): every member of a cluster of at least ``least`` images; the cluster's id is its smallest.
 
@@ -86,31 +135,39 @@ def image_clusters(df: DataFrame, id_col: str = "row_id", features_col: str = "f
 
     1. Features are quantised: seven grids, each over fourteen of the lowest cosine coefficients. Images with the same
        content are placed once.
-    2. Cells are counted; only cells of two or more images are dense, and crowded ones are cut into blocks.
-    3. Dense cells are adjacent where grids overlap, that is where they share an image. Cell mates whose leading
-       coefficients agree are tied to the smallest id among them, and minimum labels spread over the ties until none
-       changes: these are candidate clusters.
-    4. Within a candidate cluster every link is computed exactly, and minimum labels spread over the links.
-
-    So no two images are ever joined wrongly; an image is missed only if no grid puts it into one cell with any of its
-    links (measured in the README). Null ids, null, short or non-finite vectors take no part; repeated deliveries of
-    an id count once; equal images are members each; an empty table gives an empty result.
+    2. Cells are counted. A cell is dense from two images on, the fewest that can be linked; crowded ones are cut into
+       blocks.
+    3. Dense cells are adjacent where grids overlap, that is where they share an image. Cell mates are compared by
+       their principal coefficients, which bound their distance from below: similar ones are tied to the smallest id
+       among them, and minimum labels spread over the ties of all cells until none changes. Mates that are not tied but
+       may be linked by the bound stay pairs.
+    4. Every pair within a label, and every such pair of mates, is measured exactly, and minimum labels spread over the
+       links.
+
+    So no two images are ever joined wrongly, and no link within a cell is lost, whatever its images differ in; an
+    image is missed only if no grid puts it into one cell with any of its links (measured in the README). Null ids,
+    null, short or non-finite vectors take no part; repeated deliveries of an id count once; equal images are members
+    each; an empty table gives an empty result.
     """
-    table = keep(sketched(deliveries(df, id_col, features_col), cosine_sketch), "levels")
-    reps = representatives(table)
-    placed = keep(reps.select("row_id", "sketch").mapInArrow(_place, "row_id long, sketch binary, cells array<long>"), "cells")
+    table = keep(sketched(deliveries(df, id_col, features_col), _no_sketch).drop("sketch"), "levels")
+    same = keep(copies(table), "copies")
+    reps = representatives(table, same).select("row_id", "levels")
+    fitted = Principal(fit_sample(table))
+    principal = df.sparkSession.sparkContext.broadcast(fitted)
     side = F.lit(0).cast("tinyint").alias("side")
-    keyed = placed.select(F.explode("cells").alias("k"), side, "row_id", "sketch")
-    ties = keep(bucketed(keyed, placed.select(F.explode("cells").alias("k")), block).mapInArrow(sketch_ties(SENT_REACH / COSINE_STEP**2, SENT), "a long, b long"), "ties")
-    release(placed)
-    drafts = components(ties)
-    release(ties)
-    members = drafts.join(table.select("row_id", "levels"), F.col("node") == F.col("row_id")).select(F.col("label").alias("k"), side, "row_id", "levels")
-    links = keep(bucketed(members, drafts.select(F.col("label").alias("k")), block).mapInArrow(_links(reach), "a long, b long"), "links")
-    release(drafts)
+    keyed = reps.mapInArrow(_place(principal), "row_id long, cells array<long>, sketch binary").select(F.explode("cells").alias("k"), side, "row_id", "sketch")
+    keys = reps.mapInArrow(_place(), "row_id long, cells array<long>").select(F.explode("cells").alias("k"))
+    bound = reach**0.5 + np.sqrt((fitted.step.astype(np.float64) ** 2).sum())  # each of two rounded coefficients may be half a step off
+    ties = keep(bucketed(keyed, keys, block, total=table.count() * GRIDS).mapInArrow(sketch_ties(min(bound, GROUPED**0.5), bound, fitted.step), TIES), "ties")
+    drafts = components(ties.where("not loose").select("a", "b"))
+    members = with_levels(drafts, table)
+    grouped = bucketed(members, drafts.select(F.col("label").alias("k")), block).mapInArrow(_links(reach), "a long, b long")
+    paired = paired_levels(ties.where("loose").select("a", "b").distinct(), table).mapInArrow(_linked_pairs(reach), "a long, b long")
+    links = keep(grouped.unionAll(paired), "links")
+    release(drafts, ties)
     # Every image is tied to the representative of its content, so copies alone can make a cluster too.
-    labels = components(links.unionAll(copies(table).select(F.col("row_id").alias("a"), F.col("rep").alias("b"))))
-    release(links, table)
+    labels = components(links.unionAll(same.select(F.col("row_id").alias("a"), F.col("rep").alias("b"))))
+    release(links, table, same)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     return labels.join(sizes, "label").select(F.col("node").alias("row_id"), F.col("label").alias("cluster_id"))
 
@@ -121,13 +178,16 @@ def cluster_report(df: DataFrame, clusters: DataFrame, id_col: str = "row_id", f
     A member is typical if it stands in cells that many of its cluster share: ``shared`` is the number of members in
     the densest of its cells. Ties go to the smaller id.
     """
-    table = sketched(deliveries(df, id_col, features_col), cosine_sketch).select("row_id", "sketch")
-    placed = table.mapInArrow(_place, "row_id long, sketch binary, cells array<long>").select("row_id", "cells")
-    members = keep(clusters.select("row_id", "cluster_id").join(placed, "row_id").groupBy("row_id", "cluster_id").agg(F.first("cells").alias("cells")).select("row_id", "cluster_id", F.explode("cells").alias("k")), "members")
-    counts = members.groupBy("cluster_id", "k").agg(F.count(F.lit(1)).alias("n"))
-    best = members.join(counts, ["cluster_id", "k"]).groupBy("cluster_id", "row_id").agg(F.max("n").alias("shared"))
-    # A bounded top list per cluster: partial lists are cut before they travel, so a huge cluster is never gathered.
-    salted = best.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(64)))
-    top = lambda d, by: d.groupBy(*by).agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, typical).alias("t"))
-    first = salted.groupBy("cluster_id", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("shared")).alias("s"), "row_id")).alias("m1"), F.collect_list(F.struct((-F.col("shared")).alias("s"), "row_id")).alias("t")).select("cluster_id", "n", F.slice(F.array_sort("t"), 1, typical).alias("t"))
-    return top(first, ["cluster_id"]).select("cluster_id", F.col("n").alias("size"), F.posexplode("t").alias("rank", "m")).select("cluster_id", "size", (F.col("rank") + 1).alias("rank"), F.col("m.row_id").alias("row_id"), (-F.col("m.s")).alias("shared"))
+    placed = sketched(deliveries(df, id_col, features_col), _no_sketch).select("row_id", "levels").mapInArrow(_place(), "row_id long, cells array<long>")
+    members = keep(clusters.select("row_id", "cluster_id").join(placed, "row_id").groupBy("row_id", "cluster_id").agg(F.first("cells").alias("cells")), "members")
+    each = members.select("row_id", "cluster_id", F.explode("cells").alias("k"))
+    counts = each.groupBy("cluster_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    best = each.join(counts, ["cluster_id", "k"]).groupBy("cluster_id", "row_id").agg(F.max("n").alias("shared"))
+    # The first of each of 64 parts of a cluster, then the first of these: a huge cluster is never gathered.
+    order = [F.col("shared").desc(), F.col("row_id")]
+    first = best.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(64))).withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id", "part").orderBy(*order))).where(F.col("rank") <= typical)
+    top = first.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).where(F.col("rank") <= typical)
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    out = keep(top.join(sizes, "cluster_id").select("cluster_id", "size", "rank", "row_id", "shared"), "typical")
+    release(members)
+    return out

@@ -59,7 +59,10 @@ def cosine_basis(count: int = 64) -> np.ndarray:
 #: Spectrum frequencies with u*u + v*v up to this, one of each conjugate pair, without the constant: 84 of them.
 SPECTRUM_RADIUS2 = 52
 SPECTRUM_SIZE = 84
-SPECTRUM_STEP = 3.0
+#: Steps of the amplitudes, the edge and the length, as uint8. What is above 255 steps is cut off, which brings none
+#: further apart. A spectrum has so many bytes: amplitudes, edge, length.
+SPECTRUM_STEP, EDGE_STEP, LENGTH_STEP = 4.0, 8.0, 16.0
+SPECTRUM_BYTES = SPECTRUM_SIZE + 2
 
 
 @lru_cache(maxsize=1)
@@ -68,23 +71,54 @@ def _spectrum_basis() -> tuple[np.ndarray, np.ndarray]:
     waves = sorted((u * u + v * v, u, v) for v in range(reach + 1) for u in range(-reach, reach + 1) if (v or u > 0) and u * u + v * v <= SPECTRUM_RADIUS2)
     y, x = np.mgrid[:SIDE, :SIDE]
     angle = np.stack([2 * np.pi * (u * y + v * x).ravel() / SIDE for _, u, v in waves], 1)
-    return np.cos(angle).astype(np.float32), np.sin(angle).astype(np.float32)
+    unit = np.sqrt(2) / SIDE  # orthonormal, a frequency and its conjugate taken together
+    return (np.cos(angle) * unit).astype(np.float32), (np.sin(angle) * unit).astype(np.float32)
+
+
+def edges(levels: np.ndarray) -> np.ndarray:
+    """For every image the most that a move by one pixel along each axis pushes out of it, as a length."""
+    x = np.square(levels.reshape(-1, SIDE, SIDE).astype(np.float32))
+    rows, columns = np.maximum(x[:, 0].sum(1), x[:, -1].sum(1)), np.maximum(x[:, :, 0].sum(1), x[:, :, -1].sum(1))
+    return np.sqrt(rows + columns)
 
 
 def spectrum(levels: np.ndarray) -> np.ndarray:
-    """Low-frequency amplitude spectrum, scaled to length 1000 and quantised to uint8 steps of 3 (n x 84).
+    """Low-frequency amplitudes of the orthonormal Fourier transform, and the image's edge and length (n x 86, uint8).
 
-    Amplitudes do not change when a drawing moves, a constant background touches only the dropped constant term and
-    the scaling removes gain, so moved, faded and tinted copies keep their spectrum up to noise.
+    Amplitudes do not change when a drawing moves round, so by Parseval those of an image and of a moved one differ, as
+    vectors, by no more than the two images do and what the move pushes out: a lower bound of their distance.
     """
     cos, sin = _spectrum_basis()
-    out = np.empty((len(levels), SPECTRUM_SIZE), np.uint8)
+    out = np.empty((len(levels), SPECTRUM_BYTES), np.uint8)
     for i in range(0, len(levels), CHUNK):
         x = levels[i : i + CHUNK].astype(np.float32)
-        a = np.hypot(x @ cos, x @ sin)
-        norm = np.sqrt((a * a).sum(axis=1, keepdims=True))
-        a *= 1000 / np.maximum(norm, 1e-6)
-        out[i : i + CHUNK] = np.minimum(a / SPECTRUM_STEP + 0.5, 255)
+        out[i : i + CHUNK, :SPECTRUM_SIZE] = np.minimum(np.hypot(x @ cos, x @ sin) / SPECTRUM_STEP + 0.5, 255)
+        out[i : i + CHUNK, SPECTRUM_SIZE] = np.ceil(edges(levels[i : i + CHUNK]) / EDGE_STEP)
+        out[i : i + CHUNK, SPECTRUM_SIZE + 1] = np.minimum(np.sqrt(np.square(x).sum(axis=1)) / LENGTH_STEP, 255)
+    return out
+
+
+def faint(sketch: np.ndarray, reach: int) -> np.ndarray:
+    """Which spectra are of images so short that they, or what may be near-same to them, differ by a good part of themselves.
+
+    Keys of such images say little, so all of them share a key of their own: every near-same pair of which one image is
+    at most twice the near-same distance long shares it.
+    """
+    edge, length = sketch[:, SPECTRUM_SIZE].astype(np.float32) * EDGE_STEP, sketch[:, SPECTRUM_SIZE + 1].astype(np.float32) * LENGTH_STEP
+    return length <= 3 * np.sqrt(np.float32(reach)) + edge
+
+
+#: The key of faint images.
+FAINT = -1
+
+
+def amplitudes(levels: np.ndarray) -> np.ndarray:
+    """All amplitudes of the orthonormal Fourier transform (n x 420), for the same bound over all frequencies."""
+    out = np.empty((len(levels), SIDE * 15), np.float32)
+    for i in range(0, len(levels), CHUNK):
+        a = np.abs(np.fft.rfft2(levels[i : i + CHUNK].reshape(-1, SIDE, SIDE).astype(np.float32))) / SIDE
+        a[:, :, 1:14] *= np.sqrt(2)  # the columns whose conjugates the transform leaves out
+        out[i : i + CHUNK] = a.reshape(-1, SIDE * 15)
     return out
 
 
@@ -137,9 +171,8 @@ def sketched(images: DataFrame, sketch: Callable[[np.ndarray], np.ndarray]) -> D
     return images.mapInArrow(run, "row_id long, side tinyint, levels binary, h1 long, h2 long, sketch binary")
 
 
-def representatives(table: DataFrame) -> DataFrame:
-    """(h1, h2, side, row_id, sketch): of images with the same content, the one with the smallest id of each side."""
-    return table.groupBy("h1", "h2", "side").agg(F.min(F.struct("row_id", "sketch")).alias("m")).select("h1", "h2", "side", "m.row_id", "m.sketch")
+#: So many ids, of 8 bytes each, may be broadcast; a longer list is joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 
 def copies(table: DataFrame) -> DataFrame:
@@ -147,3 +180,12 @@ def copies(table: DataFrame) -> DataFrame:
     ids = table.select("h1", "h2", "side", "row_id")
     shared = ids.groupBy("h1", "h2", "side").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).where("rep < last").drop("last")
     return ids.join(shared, ["h1", "h2", "side"]).where("row_id <> rep").select("rep", "side", "row_id").distinct()
+
+
+def representatives(table: DataFrame, same: DataFrame) -> DataFrame:
+    """The rows of ``table`` but for those of ``copies``: of images with the same content, the one with the smallest id.
+
+    Repeated deliveries of it stay.
+    """
+    gone = same.select("row_id")
+    return table.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "row_id", "left_anti")

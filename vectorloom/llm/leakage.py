@@ -202,12 +202,12 @@ def readings(text: str) -> str:
     return "\n".join([text, *lines[::2], *lines[1::2]])
 
 
-def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, keys) of all windows of some texts."""
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, keys) of all windows of some texts, and all signs with where those of each text begin."""
     signs, pos, starts = fold(points(" ".join(texts) + " "))
+    begin = np.searchsorted(pos, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
     where, keys = window_keys(signs, starts)
-    return np.searchsorted(bounds, pos[where], "right") - 1 if len(where) else np.zeros(0, np.int64), where, keys
+    return np.searchsorted(begin, where, "right") - 1, where, keys, signs, begin
 
 
 def _keyed(bits: np.ndarray | None):
@@ -218,7 +218,7 @@ def _keyed(bits: np.ndarray | None):
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts = batch.column(1).to_pylist()
-                own, where, keys = _windows(texts if bits is None else [readings(t) for t in texts])
+                own, where, keys, *_ = _windows(texts if bits is None else [readings(t) for t in texts])
                 for k in range(TABLES):
                     key, o, w = keys[:, k], own, where
                     if bits is not None and len(key):
@@ -261,8 +261,9 @@ def _codes(signs: np.ndarray) -> np.ndarray:
 class Document:
     """A document's signs with its grams in sorted order, made once for all its candidate items."""
 
-    def __init__(self, text: str):
-        signs, _, _ = fold(points(text))
+    def __init__(self, text: str | np.ndarray):
+        """text, or what it folds to."""
+        signs = fold(points(text))[0] if isinstance(text, str) else text
         code = _codes(signs)
         self.text = signs.tobytes()
         self.order = np.argsort(code, kind="stable")
@@ -369,7 +370,7 @@ class Index:
         self.items: list[list[int]] = [[] for _ in self.passages]
         for item, p in zip(item_ids, passages):
             self.items[number[p]].append(item)
-        own, where, keys = _windows(self.passages)
+        own, where, keys, *_ = _windows(self.passages)
         flat = keys.T.ravel()
         order = np.argsort(flat, kind="stable")
         self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -377,9 +378,12 @@ class Index:
         np.bitwise_or.at(self.bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
         self.keys, self.own, self.at = flat[order], np.tile(own, TABLES)[order].astype(np.int32), np.tile(where, TABLES)[order].astype(np.int32)
 
-    def candidates(self, texts: list[str], seeds: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, passage) that share windows at ``seeds`` places or more of both."""
-        doc, where, keys = _windows([readings(t) for t in texts])
+    def candidates(self, texts: list[str], seeds: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(text, passage) that share windows at ``seeds`` places or more of both; and the signs of every text."""
+        both = [readings(t) for t in texts]
+        doc, where, keys, signs, begin = _windows(both)
+        # Another reading repeats the signs of the first behind it, so as many as the text has are the text's own.
+        signs = [signs[a : a + (b - a if len(t) == len(r) else (b - a) // 2)] for t, r, a, b in zip(texts, both, begin[:-1].tolist(), begin[1:].tolist())]
         pair, there, here = [], [], []
         for k in range(TABLES if len(self.keys) else 0):
             slot = keys[:, k] & ((1 << FILTER_BITS) - 1)
@@ -391,11 +395,11 @@ class Index:
             there.append(np.repeat(where[hit], n))
             here.append(self.at[slot])
         if not pair:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), signs
         pair, there, here = (np.concatenate(x) for x in (pair, there, here))
         both = [_distinct(pair, x) for x in (there, here)]
         pairs = both[0][0][np.minimum(both[0][1], both[1][1]) >= seeds]
-        return pairs // max(1, len(self.passages)), pairs % max(1, len(self.passages))
+        return pairs // max(1, len(self.passages)), pairs % max(1, len(self.passages)), signs
 
 
 def _distinct(pair: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,9 +428,10 @@ def _search(shared, seeds: int):
                 batch = whole.slice(at, 500)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows, last, doc = [], -1, None
-                for i, p in zip(*(x.tolist() for x in index.candidates(texts, seeds))):
+                found, passages, signs = index.candidates(texts, seeds)
+                for i, p in zip(found.tolist(), passages.tolist()):
                     if i != last:
-                        last, doc = i, Document(texts[i])
+                        last, doc = i, Document(signs[i])
                     if p not in known:
                         known[p] = Passage(index.passages[p])
                     held = known[p].held(doc)

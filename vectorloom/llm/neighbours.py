@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import bucketed, groups, squared
-from .images import PIXELS, copies, deliveries, fixed_binary, matrix, sketched, valid_levels
+from .images import BROADCAST_IDS, PIXELS, copies, deliveries, fixed_binary, matrix, sketched, valid_levels
 from .storage import keep, release
 
 #: The projection and the trees are fitted on at most so many images, those with the smallest hashes of their ids.
@@ -25,8 +25,6 @@ TREES, LEAF = 3, 900
 KEPT, JOINED, ROUNDS = 12, 4, 1
 #: Greedy search: rounds, nodes expanded in each, and candidates measured exactly.
 SEARCH, EXPANDED, MEASURED = 3, 64, 300
-#: So many ids, of 8 bytes each, may be broadcast.
-BROADCAST_IDS = 1_000_000
 #: Queries searched together; their projections and levels, 832 bytes each, are what is broadcast.
 QUERY_BLOCK = 20_000
 #: The whole table: images a cell should hold, cells an image is placed in, images that each cell's centre is fitted on.

@@ -67,7 +67,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return fuzzy_groups(fuzzy_pairs(_t(spark, d, "train_images")))
+    return fuzzy_groups(_t(spark, d, "train_images"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
