@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .blocks import TIES, bucketed, groups, local_labels, paired_levels, sketch_ties, squared, with_levels
 from .components import components
-from .images import COSINE_SIZE, COSINE_STEP, PIXELS, copies, cosine_sketch, deliveries, fixed_binary, matrix, representatives, sketched
+from .images import COSINE_SIZE, COSINE_STEP, PIXELS, copies, cosine_sketch, deliveries, fit_sample, fixed_binary, matrix, no_sketch, representatives, sketched
 from .storage import keep, release
 
 #: Each grid quantises its own subset of the cosine coefficients of an image.
@@ -63,13 +63,6 @@ class Principal:
         return np.clip((levels.astype(np.float32) - self.mean) @ self.basis / self.step + 128.5, 0, 255).astype(np.uint8)
 
 
-def fit_sample(table: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
-    """Levels of at most ``rows`` images, those with the smallest hashes of their ids."""
-    share = min(1.0, 1.2 * rows / max(1, table.count()))
-    drawn = table.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("row_id", "levels").dropDuplicates(["row_id"])
-    return matrix(drawn.orderBy(F.xxhash64("row_id")).limit(rows).select("levels").toArrow().column(0), PIXELS)
-
-
 def _place(principal=None):
     """For mapInArrow over (row_id, levels): the cells of every image and, with ``principal``, its sketch."""
 
@@ -86,10 +79,6 @@ def _place(principal=None):
     return run
 
 
-def _no_sketch(levels: np.ndarray) -> np.ndarray:
-    return np.zeros((len(levels), 0), np.uint8)
-
-
 def linked(x: np.ndarray, reach: int) -> np.ndarray:
     """Which rows of x are at most ``reach`` apart. Float sums may round, so close calls are done again in integers."""
     d = squared(x)
@@ -149,10 +138,10 @@ def image_clusters(df: DataFrame, id_col: str = "row_id", features_col: str = "f
     null, short or non-finite vectors take no part; repeated deliveries of an id count once; equal images are members
     each; an empty table gives an empty result.
     """
-    table = keep(sketched(deliveries(df, id_col, features_col), _no_sketch).drop("sketch"), "levels")
+    table = keep(sketched(deliveries(df, id_col, features_col), no_sketch).drop("sketch"), "levels")
     same = keep(copies(table), "copies")
     reps = representatives(table, same).select("row_id", "levels")
-    fitted = Principal(fit_sample(table))
+    fitted = Principal(fit_sample(table, FIT_ROWS))
     principal = df.sparkSession.sparkContext.broadcast(fitted)
     side = F.lit(0).cast("tinyint").alias("side")
     keyed = reps.mapInArrow(_place(principal), "row_id long, cells array<long>, sketch binary").select(F.explode("cells").alias("k"), side, "row_id", "sketch")
@@ -178,7 +167,7 @@ def cluster_report(df: DataFrame, clusters: DataFrame, id_col: str = "row_id", f
     A member is typical if it stands in cells that many of its cluster share: ``shared`` is the number of members in
     the densest of its cells. Ties go to the smaller id.
     """
-    placed = sketched(deliveries(df, id_col, features_col), _no_sketch).select("row_id", "levels").mapInArrow(_place(), "row_id long, cells array<long>")
+    placed = sketched(deliveries(df, id_col, features_col), no_sketch).select("row_id", "levels").mapInArrow(_place(), "row_id long, cells array<long>")
     members = keep(clusters.select("row_id", "cluster_id").join(placed, "row_id").groupBy("row_id", "cluster_id").agg(F.first("cells").alias("cells")), "members")
     each = members.select("row_id", "cluster_id", F.explode("cells").alias("k"))
     counts = each.groupBy("cluster_id", "k").agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     In each round every node points to the neighbour, or itself, of the smallest hash, edges are moved to what their
     ends point to, and edges within one node vanish. Hashes make even a sorted chain shrink by a constant share a
     round, so rounds grow with the logarithm of the longest chain, and each works on what is left. Then every node
-    follows its pointers, and the smallest node takes the label. A hub costs no more than its tasks' partial minima.
+    follows its pointers, and the smallest node takes the label. A hub's neighbours are reduced to partial minima where
+    they are read; in the joins its rows meet one row of the other side, which adaptive execution cuts up where they
+    are too many for a task.
     """
     left = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     steps = []

@@ -171,6 +171,17 @@ def sketched(images: DataFrame, sketch: Callable[[np.ndarray], np.ndarray]) -> D
     return images.mapInArrow(run, "row_id long, side tinyint, levels binary, h1 long, h2 long, sketch binary")
 
 
+def no_sketch(levels: np.ndarray) -> np.ndarray:
+    return np.zeros((len(levels), 0), np.uint8)
+
+
+def fit_sample(table: DataFrame, rows: int) -> np.ndarray:
+    """Levels of at most ``rows`` images, those with the smallest hashes of their ids."""
+    share = min(1.0, 1.2 * rows / max(1, table.count()))
+    drawn = table.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("row_id", "levels").dropDuplicates(["row_id"])
+    return matrix(drawn.orderBy(F.xxhash64("row_id")).limit(rows).select("levels").toArrow().column(0), PIXELS)
+
+
 #: So many ids, of 8 bytes each, may be broadcast; a longer list is joined by shuffling.
 BROADCAST_IDS = 1_000_000
 

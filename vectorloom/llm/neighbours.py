@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,15 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import bucketed, groups, squared
-from .images import BROADCAST_IDS, PIXELS, copies, deliveries, fixed_binary, matrix, sketched, valid_levels
+from .images import BROADCAST_IDS, PIXELS, copies, deliveries, fit_sample, fixed_binary, matrix, no_sketch, representatives, sketched
 from .storage import keep, release
 
 #: The projection and the trees are fitted on at most so many images, those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
 #: Dimensions of the projected vectors, one byte each.
 DIMS = 48
-#: Trees that seed the graph, and the images a leaf should hold.
-TREES, LEAF = 3, 900
+#: Trees that seed the graph, the images a leaf should hold, and levels of a tree at most.
+TREES, LEAF, DEEPEST = 3, 900, 14
 #: Neighbours kept in the graph, and those of them that an NN-descent round joins (forward, and as many backward).
 KEPT, JOINED, ROUNDS = 12, 4, 1
 #: Greedy search: rounds, nodes expanded in each, and candidates measured exactly.
@@ -29,19 +28,39 @@ SEARCH, EXPANDED, MEASURED = 3, 64, 300
 QUERY_BLOCK = 20_000
 #: The whole table: images a cell should hold, cells an image is placed in, images that each cell's centre is fitted on.
 CELL, PLACED, FIT_EACH = 700, 2, 8
+#: Cells with a centre at most.
+MOST_CELLS = 1 << 16
 #: Centres are kept in groups of about so many, of which an image is compared with the nearest few.
 CENTRES, PROBED = 256, 6
 
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, levels = valid_levels(batch.column(1))
-        if at.size:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), fixed_binary(levels)], ["row_id", "levels"])
+class Bins:
+    """Finer parts of cells that the fitted sample is too small to tell apart: quantiles along a few fixed directions.
+
+    Its size does not depend on the number of images; ``parts`` is how many parts a cell is cut into.
+    """
+
+    def __init__(self, projected: np.ndarray, parts: float, rng: np.random.Generator):
+        self.directions, self.cuts, x = [], [], projected.astype(np.float32)
+        while parts >= 2 and len(x) and len(self.cuts) < DIMS:
+            n = min(64, 1 << int(np.log2(parts)))
+            w = rng.standard_normal(DIMS).astype(np.float32)
+            self.directions.append(w)
+            self.cuts.append(np.quantile(x @ w, np.arange(1, n) / n).astype(np.float32))
+            parts /= n
+
+    def __call__(self, cells: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Cells (n x any, -1 for none) with the part of each row in them."""
+        for w, cut in zip(self.directions, self.cuts):
+            cells = np.where(cells < 0, cells, cells * (len(cut) + 1) + np.searchsorted(cut, x @ w)[:, None])
+        return cells
 
 
 class Index:
-    """What is fitted on the sample: a projection to DIMS bytes, and trees that cut the projected space into leaves."""
+    """What is fitted on the sample: a projection to DIMS bytes, and trees that cut the projected space into leaves.
+
+    Its size is bounded: trees are at most DEEPEST levels deep, and leaves that would be too large are cut by ``Bins``.
+    """
 
     def __init__(self, sample: np.ndarray, total: int, seed: int = 3):
         x = sample.astype(np.float32)
@@ -51,9 +70,10 @@ class Index:
         spread = np.abs((x - self.mean) @ self.basis).max(initial=1.0)
         self.step = np.float32(spread / 126)
         rng = np.random.default_rng(seed)
-        self.depth = max(0, int(np.ceil(np.log2(max(1, total / LEAF)))))
+        self.depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, total / LEAF))))))
         p = self.project(sample).astype(np.float32)
         self.trees = [self._tree(p, rng) for _ in range(TREES)]
+        self.bins = Bins(p, total / LEAF / 2**self.depth, rng)
 
     def _tree(self, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Planes of a complete tree: each halves the sample in its node between two images drawn from it."""
@@ -82,28 +102,29 @@ class Index:
             node = np.ones(len(x), np.int64)
             for _ in range(self.depth):
                 node = 2 * node + (np.einsum("ij,ij->i", x, planes[node]) > cuts[node])
-            out[:, t] = node * TREES + t
-        return out
-
-
-PROJECTED = "row_id long, vec binary, leaves array<long>, h1 long, h2 long"
+            out[:, t] = node
+        return self.bins(out, x) * TREES + np.arange(TREES)
 
 
 def _project(index) -> object:
+    """For mapInArrow over (row_id, levels): (row_id, vec, leaves)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, levels = valid_levels(batch.column(1))
-            if at.size:
-                p = index.value.project(levels)
-                leaves = index.value.leaves(p)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * TREES), pa.array(leaves.ravel()))
-                digest = np.frombuffer(b"".join([hashlib.blake2b(row, digest_size=16).digest() for row in levels]), np.int64).reshape(-1, 2)
-                h1, h2 = (pa.array(np.ascontiguousarray(digest[:, i])) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), fixed_binary(p), lists, h1, h2], ["row_id", "vec", "leaves", "h1", "h2"])
+            if batch.num_rows:
+                p = index.value.project(matrix(batch.column(1), PIXELS))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * TREES), pa.array(index.value.leaves(p).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), fixed_binary(p), lists], ["row_id", "vec", "leaves"])
 
     return run
 
 
+def level_table(images: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(table, twins, rows): the levels of all deliveries, read and cleaned once; the ids (rep, row_id) of equal content."""
+    table = keep(sketched(images.withColumn("side", F.lit(0).cast("tinyint")), no_sketch).drop("sketch"), "levels")
+    return table, keep(copies(table).select("rep", "row_id"), "twins"), table.count()
+
+
 def _lists(ids: np.ndarray, near: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
     k = near.shape[1]
     offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * k)
@@ -194,36 +215,20 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _lists(own[g, i], own[g, j][:, None], d[g, i, j][:, None])
 
 
-def _sample(images: DataFrame, total: int, rows: int) -> np.ndarray:
-    """Levels of the images with the smallest hashes of their ids."""
-    share = min(1.0, 1.2 * rows / max(1, total))
-    drawn = images.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_levels, "row_id long, levels binary")
-    return matrix(drawn.dropDuplicates(["row_id"]).orderBy(F.xxhash64("row_id")).limit(rows).select("levels").toArrow().column(0), PIXELS)
-
-
-def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors, graph, twins): vectors (row_id, vec), graph (row_id, near, dist) of KEPT neighbours in order.
+def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(table, vectors, graph, twins): vectors (row_id, vec), graph (row_id, near, dist) of KEPT neighbours in order.
 
     Both are over representatives: of images with equal content the one with the smallest id. twins (rep, row_id) are
-    the others.
+    the others, table what ``level_table`` gives.
 
     Seeded by brute force within the leaves of random projection trees, then improved by NN-descent rounds: a node's
     nearest JOINED neighbours, and as many nodes of which it is one, are joined at the node and compared with each
     other. Distances are of the projected vectors. A node's backward neighbours are sampled, as the method does.
     """
     spark = images.sparkSession
-    total = images.count()
-    index = spark.sparkContext.broadcast(Index(_sample(images, total, FIT_ROWS), total))
-    each = keep(images.mapInArrow(_project(index), PROJECTED).dropDuplicates(["row_id"]), "each")
-    twins = keep(copies(each.withColumn("side", F.lit(0).cast("tinyint"))).select("rep", "row_id"), "twins")
-    gone = twins.select("row_id")
-    few = gone.count() <= BROADCAST_IDS
-    vectors = each.join(F.broadcast(gone) if few else gone, "row_id", "left_anti").select("row_id", "vec", "leaves")
-    if few:
-        vectors._vectorloom_path = each._vectorloom_path  # read through the broadcast ids, released with its table
-    else:
-        vectors = keep(vectors, "vectors")
-        release(each)
+    table, twins, total = level_table(images)
+    index = spark.sparkContext.broadcast(Index(fit_sample(table, FIT_ROWS), total))
+    vectors = keep(representatives(table, twins).select("row_id", "levels").mapInArrow(_project(index), "row_id long, vec binary, leaves array<long>").dropDuplicates(["row_id"]), "vectors")
     placed = vectors.select(F.explode("leaves").alias("k"), F.lit(0).cast("tinyint").alias("side"), "row_id", "vec")
     near = "row_id long, near array<long>, dist array<int>"
     graph = keep(_best(bucketed(placed, placed.select("k"), 4 * LEAF).mapInArrow(_leaf_lists, near)), "graph")
@@ -241,7 +246,7 @@ def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
         new = keep(_best(graph.unionAll(better)), "graph")
         release(graph)
         graph = new
-    return vectors, graph, twins
+    return table, vectors, graph, twins
 
 
 def _centres(x: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -257,13 +262,14 @@ def _centres(x: np.ndarray, count: int, rng: np.random.Generator, rounds: int =
 class Cells:
     """Cells of about CELL images around centres in the projected space; an image is placed in its PLACED nearest.
 
-    Centres are fitted in groups around heads, so placing an image costs a look at all heads and at a few groups'
+    At most MOST_CELLS have a centre; with more images, cells are cut into parts by ``Bins``. Centres are fitted in groups around heads, so placing an image costs a look at all heads and at a few groups'
     centres, whatever the number of cells.
     """
 
     def __init__(self, projected: np.ndarray, total: int, seed: int = 5):
         x, rng = projected.astype(np.float32), np.random.default_rng(seed)
-        count = max(1, round(total / CELL))
+        count = min(MOST_CELLS, max(1, round(total / CELL)))
+        self.bins = Bins(x, total / CELL / count, rng)
         self.heads = _centres(x, max(1, round(count / CENTRES)), rng)
         near = np.concatenate([((self.heads**2).sum(1)[None] - 2 * x[i : i + 4096] @ self.heads.T).argmin(1) for i in range(0, len(x), 4096)])
         self.heads = self.heads[np.unique(near)]
@@ -284,16 +290,18 @@ class Cells:
                 cost[rows, slot * PLACED + n], cell[rows, slot * PLACED + n] = d[np.arange(len(rows)), at], self.first[g] + at
                 d[np.arange(len(rows)), at] = np.inf
         best = np.argsort(cost, axis=1, kind="stable")[:, :PLACED]
-        return np.take_along_axis(cell, best, 1)
+        return self.bins(np.take_along_axis(cell, best, 1), x)
 
 
 def _place(cells) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                at = np.concatenate([cells.value.place(p) for p in np.array_split(matrix(b.column(1), DIMS), -(-b.num_rows // 2048))])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * PLACED), pa.array(at.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, b.column(2)], ["row_id", "cells", "levels"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                index, found = cells.value
+                placed = found.place(index.project(matrix(b.column(1), PIXELS)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * placed.shape[1]), pa.array(placed.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, b.column(1)], ["row_id", "cells", "levels"])
 
     return run
 
@@ -357,27 +365,19 @@ def all_nearest(images: DataFrame, k: int = 10) -> DataFrame:
     missed (recall in the README). Crowded cells are compared in blocks, so no pair of a cell is left out.
     """
     spark = images.sparkSession
-    total = images.count()
-    wanted = max(FIT_ROWS, FIT_EACH * round(total / CELL))
-    levels = _sample(images, total, FIT_ROWS)
-    index = Index(levels, 1)
-    shared = spark.sparkContext.broadcast(index)
-    drawn = index.project(levels)
-    if wanted > FIT_ROWS:
-        share = min(1.0, wanted / total)
-        drawn = matrix(images.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_project(shared), PROJECTED).select("vec").toArrow().column(0), DIMS)
-    if not len(drawn):
+    table, twins, total = level_table(images)
+    levels = fit_sample(table, min(FIT_EACH * MOST_CELLS, max(FIT_ROWS, FIT_EACH * round(total / CELL))))
+    if not len(levels):
+        release(table, twins)
         return spark.createDataFrame([], "row_id long, neighbour long, distance long, rank int")
-    cells = spark.sparkContext.broadcast(Cells(drawn, total))
-    table = keep(sketched(images.withColumn("side", F.lit(0).cast("tinyint")), lambda x: shared.value.project(x)), "levels")
-    twins = keep(copies(table).select("rep", "row_id"), "twins")
-    gone = twins.select("row_id")
-    rest = table.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "row_id", "left_anti")
+    index = Index(levels[:FIT_ROWS], 1)
+    cells = spark.sparkContext.broadcast((index, Cells(index.project(levels), total)))
+    rest = representatives(table, twins).select("row_id", "levels")
     side = F.lit(0).cast("tinyint").alias("side")
-    placed = rest.select("row_id", "sketch", "levels").mapInArrow(_place(cells), "row_id long, cells array<long>, levels binary")
+    placed = rest.mapInArrow(_place(cells), "row_id long, cells array<long>, levels binary")
     keyed = placed.select(F.explode("cells").alias("k"), side, "row_id", "levels").where("k >= 0")
-    keys = rest.select("row_id", "sketch", F.lit(b"").alias("levels")).mapInArrow(_place(cells), "row_id long, cells array<long>, levels binary").select(F.explode("cells").alias("k"))
-    lists = bucketed(keyed, keys, 4 * LEAF).mapInArrow(_measured_lists, "row_id long, near array<long>, dist array<int>")
+    keys = placed.select(F.explode("cells").alias("k"))
+    lists = bucketed(keyed, keys, 4 * LEAF, total=total * PLACED).mapInArrow(_measured_lists, "row_id long, near array<long>, dist array<int>")
     graph = keep(_best(lists), "graph")
     found = graph.select(F.col("row_id").alias("query"), F.explode(F.arrays_zip("near", "dist")).alias("m")).select("query", F.col("m.near").alias("row_id"), F.col("m.dist").alias("d"))
     own = table.select(F.col("row_id").alias("query")).distinct().join(twins.select(F.col("row_id").alias("query"), "rep"), "query", "left").select("query", F.coalesce("rep", "query").alias("rep"))
@@ -435,7 +435,7 @@ def nearest(images: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
     smallest ids after the exact measurement. Queries that are no valid image give nothing; an image has fewer than k neighbours only
     if there are fewer images; repeated deliveries and repeated queries count once.
     """
-    vectors, graph, twins = build_graph(images)
+    table, vectors, graph, twins = build_graph(images)
     rep = twins.select(F.col("row_id").alias("query"), "rep")
     owners = keep(wanted.select(F.col("query").cast("long").alias("query")).where("query is not null").distinct().join(rep, "query", "left").select("query", F.coalesce("rep", "query").alias("rep")), "owners")
     asked = keep(owners.select(F.col("rep").alias("query")).distinct().join(vectors, F.col("query") == F.col("row_id")).select("query", "vec"), "asked")
@@ -443,11 +443,11 @@ def nearest(images: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
     found = []
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block) if blocks > 1 else asked
-        found.append(_search(images, vectors, graph, part, k))
+        found.append(_search(table, vectors, graph, part, k))
     every = reduce(DataFrame.unionAll, found).select("query", F.col("neighbour").alias("row_id"), F.col("distance").alias("d"))
     out = _spread(every, twins, owners, k).select("query", F.posexplode("neighbours").alias("rank", "m"))
     out = keep(out.select("query", F.col("m.row_id").alias("neighbour"), F.col("m.d").alias("distance"), (F.col("rank") + 1).alias("rank")), "nearest")
-    release(vectors, graph, asked, owners, twins, *found)
+    release(table, vectors, graph, asked, owners, twins, *found)
     return out
 
 
@@ -457,8 +457,8 @@ def _arrow_map(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], matrix(table.column(1), width)[order]
 
 
-def _search(images: DataFrame, vectors: DataFrame, graph: DataFrame, part: DataFrame, k: int) -> DataFrame:
-    sc = images.sparkSession.sparkContext
+def _search(table: DataFrame, vectors: DataFrame, graph: DataFrame, part: DataFrame, k: int) -> DataFrame:
+    sc = table.sparkSession.sparkContext
     queries = sc.broadcast(_arrow_map(part.toArrow(), DIMS))
     seen = keep(part.join(graph, F.col("query") == F.col("row_id")).select("query", F.explode(F.arrays_zip("near", "dist")).alias("m")).select("query", F.col("m.near").alias("row_id"), F.col("m.dist").alias("d"), F.lit(0).alias("open")), "seen")
     for r in range(SEARCH):
@@ -473,8 +473,7 @@ def _search(images: DataFrame, vectors: DataFrame, graph: DataFrame, part: DataF
     best = keep(_top(seen, MEASURED).groupBy("row_id").agg(F.collect_list("query").alias("queries")), "candidates")
     ids = best.select("row_id").unionAll(part.select(F.col("query").alias("row_id"))).distinct()
     small = ids.count() <= BROADCAST_IDS
-    near = images.join(F.broadcast(ids) if small else ids, "row_id", "left_semi").mapInArrow(_levels, "row_id long, levels binary")
-    near = keep(near, "levels")
+    near = keep(table.select("row_id", "levels").join(F.broadcast(ids) if small else ids, "row_id", "left_semi"), "levels")
     own = near.join(F.broadcast(part.select(F.col("query").alias("row_id"))), "row_id", "left_semi").dropDuplicates(["row_id"])
     levels = sc.broadcast(_arrow_map(own.toArrow(), PIXELS))
     measured = near.join(best, "row_id").select("row_id", "levels", "queries").mapInArrow(_exact(levels), "query long, row_id long, d long").dropDuplicates(["query", "row_id"])

@@ -35,10 +35,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by ``keep`` once everything derived from them is itself written."""
+    """Delete tables made by ``keep`` once everything derived from them is itself written.
+
+    Then the driver collects its garbage: Spark deletes the shuffle files behind the tables only when it does.
+    """
     for df in tables:
         path = getattr(df, "_vectorloom_path", None)
         if path:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+    for df in tables[:1]:
+        df.sparkSession._jvm.System.gc()
