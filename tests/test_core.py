@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectorloom import benchmark
 from vectorloom.functions import rng, vec
 from vectorloom.operators import contracts, learners, matrices, preprocessing, trees
 from vectorloom.operators import profile as prof
@@ -240,6 +241,93 @@ def test_profile(spark):
     assert prof.mini_batches(spark.range(23), 5, ["id"]).count() == 20
 
 
+def test_batches_of_wide_rows(spark):
+    """Rows too wide for the ranges of narrow ones to be cut alike: none is lost, positions are dense and in order."""
+    rows = spark.range(30_000).select(((F.col("id") * 7919) % 30_011).alias("key"), F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.rand() + i).alias("wide"))
+    out = prof.mini_batches(rows, 50, ["key"]).select("key", "pos", "batch", F.size("wide").alias("w"))
+    got = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("d"), F.max("pos").alias("m"), F.max("batch").alias("b"), F.min("w").alias("w")).first()
+    assert tuple(got) == (30_000, 30_000, 29_999, 599, 200)
+    first = [r["key"] for r in out.where("pos < 5").orderBy("pos").collect()]
+    assert first == sorted(r[0] for r in rows.select("key").collect())[:5]
+
+
+def test_percentiles_equal_those_of_sql(spark):
+    """Nulls, ties, a null group, a group without values, one value far more frequent than others."""
+    rows = [(None if i % 7 == 0 else i % 3, None if i % 5 == 0 else float((i * 37) % 101)) for i in range(900)] + [(9, None), (8, 1.5)] + [(2, 50.0)] * 500
+    df = spark.createDataFrame(rows, "g int, v double")
+    qs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    names = ["p0", "p10", "p50", "p95", "p100"]
+    want = df.groupBy("g").agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)").alias(n) for q, n in zip(qs, names)])
+    got = prof.percentile(df, "v", qs, ["g"])
+    assert got.columns == ["g", *names] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert tuple(prof.percentile(df.limit(0), "v", [0.5]).first()) == (None,) and prof.percentile(df.limit(0), "v", [0.5], ["g"]).count() == 0
+
+
+def test_another_width_raises(spark, four):
+    narrow = spark.createDataFrame([(0, [1.0])], "row_id long, features array<double>")
+    for scored in (preprocessing.StandardScaler().fit(four).transform(narrow), learners.GaussianNaiveBayes().fit(four).predict(narrow), narrow.select(vec.relu_grad("features", vec.vector([1, 2]), vec.vector([1, 2]))), narrow.select(vec.copy("features", vec.fill(2)))):
+        with pytest.raises(Exception, match="entries|differ in length"):
+            scored.collect()
+    with pytest.raises(ValueError):
+        trees.RandomForestClassifier(2, max_features=9).fit(four)
+    absent = spark.createDataFrame([(0, None)], "row_id long, features array<double>")
+    assert preprocessing.StandardScaler().fit(four).transform(absent).first()["scaled"] is None
+
+
+def test_softmax_is_linear_in_the_width(spark):
+    x = np.random.default_rng(1).normal(size=(3, 3000))
+    got = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i int, f array<double>").select("i", vec.softmax("f").alias("p")).orderBy("i").collect()
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    assert np.allclose([r["p"] for r in got], e / e.sum(axis=1, keepdims=True))
+
+
+def test_parameter_order_and_checkpoint_bytes():
+    """Last inputs first: the golden order of shapes, and the bytes of a small checkpoint."""
+    g = graph.residual_classifier(8, 4, 3)
+    assert [(p.rows, p.cols) for p in g.parameters()] == [(3, 1), (4, 1), (4, 1), (4, 8), (4, 4), (3, 4)]
+    data = checkpoints.encode([np.array([[1.0, -2.0]])])
+    assert data == b"KMLCP01" + bytes([1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 2, 0, 0, 0]) + bytes([0, 0, 128, 63, 0, 0, 0, 192])
+
+
+def test_gradients_accumulate():
+    g = graph.residual_classifier(4, 3, 2)
+    x, y = np.random.default_rng(0).normal(size=(6, 4, 1)), np.eye(2)[[0, 1, 0, 1, 1, 0]][:, :, None]
+    feed = lambda a, b: {id(g.input): x[a:b], id(g.target): y[a:b]}
+    g.clear_gradients()
+    g.accumulate(feed(0, 2))
+    g.accumulate(feed(2, 6))
+    twice = [p.grad for p in g.parameters()]
+    g.clear_gradients()
+    g.accumulate(feed(0, 6))
+    assert all(np.allclose(a, p.grad) for a, p in zip(twice, g.parameters())) and any(np.abs(a).sum() > 0 for a in twice)
+
+
+def test_one_stream_from_weights_to_orders():
+    one, two = rng.PCG32(), rng.PCG32()
+    graph.residual_classifier(4, 3, 2, one)
+    order = next(rng.transposition_orders(20, 1, one))
+    assert order.tolist() != next(rng.transposition_orders(20, 1, two)).tolist()
+
+
+def test_metrics_log(tmp_path, spark):
+    """Rows are in the file as soon as they are known; progress lines go along."""
+    said = []
+    log = metrics.MetricsLog(str(tmp_path / "log.csv"), tests=8, progress=said.append)
+    log((1, 0.5, 0.25, 0.01))
+    assert (tmp_path / "log.csv").read_text().splitlines() == [metrics.HEADER, "1,0.500000,0.250000,0.01000000"]
+    log.close()
+    assert said == ["Epoch 1: test 4/8 (50.00%), cost 0.250000"]
+
+
+def test_benchmark_command(spark, tmp_path):
+    out = str(tmp_path / "r.json")
+    assert benchmark.main(["--output", out, "--size", "0"]) == 2 and benchmark.main(["--size", "4"]) == 2 and benchmark.main(["--output", out, "--size", "x"]) == 2
+    assert benchmark.main(["--output", out, "--size", "8", "--iterations", "2"], spark) == 0
+    report = __import__("json").loads(open(out).read())
+    assert report["metrics"]["iterations"] == 2 and 0 <= report["metrics"]["maximum_absolute_error"] < 1e-5
+    assert benchmark.main(["--output", str(tmp_path / "no" / "r.json"), "--size", "2", "--iterations", "1"], spark) == 1
+
+
 def test_raw_files(spark, tmp_path):
     path = str(tmp_path / "m.bin")
     np.arange(6, dtype="<f4").tofile(path)
@@ -253,7 +341,7 @@ def test_raw_files(spark, tmp_path):
     assert np.fromfile(path + "2", "<f4").tolist() == list(range(6))
 
 
-@pytest.mark.parametrize("body", ["a,b\n1,2\n", "epoch,accuracy,cost,learning_rate\n", "epoch,accuracy,cost,learning_rate\n1,x,1,1\n", "epoch,accuracy,cost,learning_rate\n1,2\n"])
+@pytest.mark.parametrize("body", ["a,b\n1,2\n", "epoch,accuracy,cost,learning_rate\n", "epoch,accuracy,cost,learning_rate\n1,x,1,1\n", "epoch,accuracy,cost,learning_rate\n1,2\n", "epoch,accuracy,cost,learning_rate\n1,1,1,1\nepoch,accuracy,cost,learning_rate\n"])
 def test_bad_metrics(spark, tmp_path, body):
     (tmp_path / "m.csv").write_text(body)
     with pytest.raises(ValueError):

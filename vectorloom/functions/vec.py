@@ -26,6 +26,24 @@ def _same(a: Column, b: Column, out: Column) -> Column:
     return F.when(F.size(a) == F.size(b), out).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors differ in length")).cast("array<double>"))
 
 
+def of_width(a: Column, width: int) -> Column:
+    """a, which raises where its length is another."""
+    return F.when(F.size(a) == width, a).when(a.isNotNull(), F.raise_error(F.lit(f"a vector has not {width} entries")).cast("array<double>"))
+
+
+def _alike(arrays: Sequence[Column], out: Column) -> Column:
+    """out, which raises where the arrays differ in length; null where one is null."""
+    same, present = F.lit(True), F.lit(True)
+    for a in arrays:
+        same, present = same & (F.size(a) == F.size(arrays[0])), present & a.isNotNull()
+    return F.when(present & same, out).when(present, F.raise_error(F.lit("vectors differ in length")).cast("array<double>"))
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), the value worked out once a row; inside a lambda it would be worked out for every entry."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def double(a: Column | str) -> Column:
     return col(a).cast("array<double>")
 
@@ -35,6 +53,12 @@ def fill(size: int, value: float = 0.0) -> Column:
     return F.array_repeat(F.lit(float(value)), size)
 
 
+def copy(a: Column | str, into: Column | str) -> Column:
+    """The entries of a in place of those of ``into``; raises where their lengths differ."""
+    a, into = double(a), double(into)
+    return _same(a, into, a)
+
+
 def scale(a: Column | str, s: float) -> Column:
     return F.transform(double(a), lambda x: x * F.lit(float(s)))
 
@@ -81,11 +105,10 @@ def relu(a: Column | str) -> Column:
 
 
 def softmax(a: Column | str) -> Column:
-    """Shifted by the largest entry. An empty vector, or a sum of 0, gives null."""
-    a = double(a)
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    s = F.aggregate(e, F.lit(0.0), lambda t, x: t + x)
-    return F.when((F.size(a) > 0) & (s != 0), F.transform(e, lambda x: x / s))
+    """Shifted by the largest entry; work is linear in the width. An empty vector, or a sum of 0, gives null."""
+    shifted = _bind(double(a), lambda v: _bind(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))))
+    shares = _bind(shifted, lambda e: _bind(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda s: F.when((F.size(e) > 0) & (s != 0), F.transform(e, lambda x: x / s))))
+    return shares
 
 
 def cross_entropy(p: Column | str, q: Column | str) -> Column:
@@ -96,8 +119,9 @@ def cross_entropy(p: Column | str, q: Column | str) -> Column:
 
 def relu_grad(out: Column | str, a: Column | str, grad: Column | str) -> Column:
     """out + grad where a > 0."""
-    z = F.arrays_zip(double(out).alias("o"), double(a).alias("a"), double(grad).alias("g"))
-    return F.transform(z, lambda t: t["o"] + F.when(~F.isnan(t["a"]) & (t["a"] > 0), t["g"]).otherwise(F.lit(0.0)))
+    out, a, grad = double(out), double(a), double(grad)
+    z = F.arrays_zip(out.alias("o"), a.alias("a"), grad.alias("g"))
+    return _alike([out, a, grad], F.transform(z, lambda t: t["o"] + F.when(~F.isnan(t["a"]) & (t["a"] > 0), t["g"]).otherwise(F.lit(0.0))))
 
 
 def softmax_grad(out: Column | str, grad: Column | str) -> Column:
@@ -107,14 +131,16 @@ def softmax_grad(out: Column | str, grad: Column | str) -> Column:
 
 def cross_entropy_grad_q(out: Column | str, p: Column | str, q: Column | str, grad: Column | str) -> Column:
     """out + (q - p) grad."""
-    z = F.arrays_zip(double(out).alias("o"), double(p).alias("p"), double(q).alias("q"), double(grad).alias("g"))
-    return F.transform(z, lambda t: t["o"] + (t["q"] - t["p"]) * t["g"])
+    out, p, q, grad = double(out), double(p), double(q), double(grad)
+    z = F.arrays_zip(out.alias("o"), p.alias("p"), q.alias("q"), grad.alias("g"))
+    return _alike([out, p, q, grad], F.transform(z, lambda t: t["o"] + (t["q"] - t["p"]) * t["g"]))
 
 
 def cross_entropy_grad_p(out: Column | str, q: Column | str, grad: Column | str) -> Column:
     """out - ln(q + 1e-7) grad."""
-    z = F.arrays_zip(double(out).alias("o"), double(q).alias("q"), double(grad).alias("g"))
-    return F.transform(z, lambda t: t["o"] - F.log(t["q"] + EPSILON) * t["g"])
+    out, q, grad = double(out), double(q), double(grad)
+    z = F.arrays_zip(out.alias("o"), q.alias("q"), grad.alias("g"))
+    return _alike([out, q, grad], F.transform(z, lambda t: t["o"] - F.log(t["q"] + EPSILON) * t["g"]))
 
 
 def sigmoid(s: Column | str) -> Column:

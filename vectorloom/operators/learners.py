@@ -89,10 +89,9 @@ class KMeans(Model):
         self.centers, self.seeds, self.iterations = None, None, 0
 
     def fit(self, df: DataFrame, id_col: str = "row_id", features_col: str = "features") -> KMeans:
-        n, _ = check_features(df, features_col)
+        n, width = check_features(df, features_col)
         _need(n >= self.clusters, "more clusters than rows")
         data = df.select(F.col(id_col).alias("row_id"), vec.double(features_col).alias("features"))
-        _, width = check_features(data)
         if n * width * 8 <= ONE_TASK_BYTES:
             self._fit_in_one_task(data)
         else:
@@ -242,8 +241,7 @@ class LogisticRegression(Model):
         self.weights = self.bias = None
 
     def fit(self, df: DataFrame, features_col: str = "features", label_col: str = "label") -> LogisticRegression:
-        rows, width = check_features(df, features_col)
-        _need(not df.where(F.col(label_col).isNull() | ~F.col(label_col).isin(0, 1)).limit(1).count(), "labels must be 0 or 1")
+        rows, width = check_features(df, features_col, F.col(label_col).isNull() | ~F.col(label_col).isin(0, 1), "labels must be 0 or 1")
         lr, l2 = self.learning_rate, self.l2
 
         def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple:
@@ -310,6 +308,29 @@ class SoftmaxClassifier(Model):
         return df.withColumn(out, vec.argmax(vec.affine(features_col, self.weights, self.bias)))
 
 
+def _nearer(best_d: np.ndarray, best_l: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best (distance, label) lists of queries q after rows x with labels y.
+
+    A matrix product cuts what cannot be among the best, with room for its rounding; the rest is summed in the order of
+    the entries, like a row-wise fold.
+    """
+    m, k = best_d.shape
+    q2, x2 = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    near = q @ x.T
+    near *= -2
+    near += q2[:, None]
+    near += x2[None]
+    cut = best_d[:, -1]
+    if len(x) >= k:
+        cut = np.minimum(cut, np.partition(near, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero(near <= (cut + 1e-9 * (1 + q2 + x2.max()))[:, None])
+    exact = np.concatenate([np.zeros(0), *(np.cumsum((q[i[a : a + 65536]] - x[j[a : a + 65536]]) ** 2, axis=1)[:, -1] for a in range(0, len(i), 65536))])
+    row, d, label = np.concatenate([np.repeat(np.arange(m), k), i]), np.concatenate([best_d.ravel(), exact]), np.concatenate([best_l.ravel(), y[j]])
+    order = np.lexsort((label, d, row))
+    at = order[np.searchsorted(row[order], np.arange(m))[:, None] + np.arange(k)]
+    return d[at], label[at]
+
+
 class KNearestNeighbors(Model):
     """The majority among the k nearest by squared distance, ordered by (distance, label); ties go to the smaller label.
 
@@ -350,13 +371,7 @@ class KNearestNeighbors(Model):
                         piece = b.slice(at, 4096)
                         x, y = stack(piece), piece.column(1).to_numpy(zero_copy_only=False)
                         for s in range(0, len(ids), 1024):
-                            d = np.zeros((min(1024, len(ids) - s), len(x)))
-                            for c in range(q.shape[1]):  # sums in the order of the entries, like a row-wise fold
-                                d += (q[s : s + 1024, c, None] - x[None, :, c]) ** 2
-                            d = np.hstack([best_d[s : s + 1024], d])
-                            lab = np.hstack([best_l[s : s + 1024], np.broadcast_to(y, (d.shape[0], len(y)))])
-                            o = np.lexsort((lab, d), axis=1)[:, :k]
-                            best_d[s : s + 1024], best_l[s : s + 1024] = np.take_along_axis(d, o, 1), np.take_along_axis(lab, o, 1)
+                            best_d[s : s + 1024], best_l[s : s + 1024] = _nearer(best_d[s : s + 1024], best_l[s : s + 1024], q[s : s + 1024], x, y)
                 ok = np.isfinite(best_d)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[ok]), pa.array(best_l[ok].astype(np.int32)), pa.array(best_d[ok])], ["query", "label", "distance"])
 
@@ -400,7 +415,7 @@ class GaussianNaiveBayes(Model):
 
     def scores(self, features_col: str = "features") -> Column:
         self._ready()
-        x, out = vec.double(features_col), []
+        x, out = vec.of_width(vec.double(features_col), len(self.means[0])), []
         for prior, m, v in zip(self.priors, self.means, self.variances):
             base = prior - 0.5 * float(np.sum(1.8378770664 + np.log(v)))
             z = F.arrays_zip(x.alias("x"), vec.vector(m).alias("m"), vec.vector(1 / np.array(v)).alias("w"))

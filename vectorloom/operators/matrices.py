@@ -103,9 +103,8 @@ def covariance(df: DataFrame, features_col: str = "features") -> tuple[np.ndarra
     return mean, g[1:, 1:] / n - np.outer(mean, mean), n
 
 
-def covariance_table(df: DataFrame, dims: int, features_col: str = "features") -> DataFrame:
-    """(i, j, cov) of the first ``dims`` features, as native aggregates of one pass."""
-    x = F.col(features_col).cast("array<double>")
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    one = df.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.covar_pop(x[i], x[j]).alias("cov")) for i, j in pairs]).alias("c"))
-    return one.select(F.explode("c").alias("c")).select("c.i", "c.j", "c.cov")
+def covariance_table(df: DataFrame, features_col: str = "features") -> DataFrame:
+    """(i, j, cov) of all features, i <= j: as many rows as the square of the width, whatever the number of vectors."""
+    _, cov, _ = covariance(df, features_col)
+    i, j = np.triu_indices(len(cov))
+    return df.sparkSession.createDataFrame(pa.table({"i": pa.array(i.astype(np.int32)), "j": pa.array(j.astype(np.int32)), "cov": pa.array(cov[i, j])}))

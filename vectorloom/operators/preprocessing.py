@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -14,14 +14,17 @@ class NotFittedError(RuntimeError):
     """A model was used before it was fitted."""
 
 
-def check_features(df: DataFrame, features_col: str = "features") -> tuple[int, int]:
-    """(rows, width) in one aggregate; raises ValueError on no rows, null or empty vectors, or different lengths."""
+def check_features(df: DataFrame, features_col: str = "features", bad: Column | None = None, message: str = "") -> tuple[int, int]:
+    """(rows, width) in one aggregate; raises ValueError on no rows, null or empty vectors, or different lengths, and
+    with ``message`` if any row is ``bad``."""
     n = F.size(F.col(features_col))
-    r = df.agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("least"), F.max(n).alias("most"), F.count(features_col).alias("present")).first()
+    r = df.agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("least"), F.max(n).alias("most"), F.count(features_col).alias("present"), F.count_if(F.lit(False) if bad is None else bad).alias("bad")).first()
     if not r["rows"]:
         raise ValueError("at least one row is needed")
     if r["present"] != r["rows"] or r["least"] < 1 or r["least"] != r["most"]:
         raise ValueError("feature vectors must be present and of one length of at least 1")
+    if r["bad"]:
+        raise ValueError(message)
     return r["rows"], r["least"]
 
 
@@ -48,8 +51,15 @@ class StandardScaler:
     def transform(self, df: DataFrame, features_col: str = "features", out: str = "scaled") -> DataFrame:
         if self.mean is None:
             raise NotFittedError("fit the scaler first")
-        z = F.arrays_zip(vec.double(features_col).alias("x"), vec.vector(self.mean).alias("m"), vec.vector(self.scale).alias("s"))
-        return df.withColumn(out, F.transform(z, lambda t: (t["x"] - t["m"]) / t["s"]))
+        z = F.arrays_zip(vec.of_width(vec.double(features_col), len(self.mean)).alias("x"), vec.vector(self.mean).alias("m"), vec.vector(self.scale).alias("s"))
+        # Zipping would pad a null vector with nulls.
+        return df.withColumn(out, F.when(F.col(features_col).isNotNull(), F.transform(z, lambda t: (t["x"] - t["m"]) / t["s"])))
+
+    def as_dataframe(self, spark: SparkSession) -> DataFrame:
+        if self.mean is None:
+            raise NotFittedError("fit the scaler first")
+        rows = [(name, i, float(v)) for name in ("mean", "scale") for i, v in enumerate(getattr(self, name))]
+        return spark.createDataFrame(rows, "param string, idx int, value double")
 
 
 def normalise_pixels(df: DataFrame, features_col: str = "features", out: str = "features") -> DataFrame:
@@ -59,7 +69,17 @@ def normalise_pixels(df: DataFrame, features_col: str = "features", out: str = "
 
 def invalid_rows(df: DataFrame, width: int, classes: int = 10, features_col: str = "features", label_col: str = "label") -> DataFrame:
     """df with ``problem``: the first of null features, wrong size, not finite, null label, not whole, out of range; null if none."""
-    f, label = F.col(features_col).cast("array<double>"), F.col(label_col).cast("double")
+    return df.withColumn("problem", F.coalesce(features_problem(width, features_col), label_problem(classes, label_col)))
+
+
+def features_problem(width: int, features_col: str = "features") -> Column:
+    """The first of null features, wrong size and not finite, or null: small to carry where the vectors need not travel."""
+    f = F.col(features_col).cast("array<double>")
     bad = F.exists(f, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    problem = F.when(f.isNull(), "no features").when(F.size(f) != width, "wrong size").when(bad, "not finite").when(label.isNull() | F.isnan(label), "no label").when(label != F.floor(label), "label not whole").when((label < 0) | (label >= classes), "label out of range")
-    return df.withColumn("problem", problem)
+    return F.when(f.isNull(), "no features").when(F.size(f) != width, "wrong size").when(bad, "not finite")
+
+
+def label_problem(classes: int = 10, label_col: str = "label") -> Column:
+    """The first of null label, not whole and out of range, or null."""
+    label = F.col(label_col).cast("double")
+    return F.when(label.isNull() | F.isnan(label), "no label").when(label != F.floor(label), "label not whole").when((label < 0) | (label >= classes), "label out of range")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,6 +174,7 @@ class DecisionTreeClassifier(Model):
 
     def fit(self, df: DataFrame, features_col: str = "features", label_col: str = "label", one_task_bytes: int = ONE_TASK_BYTES) -> DecisionTreeClassifier:
         rows, self.feature_count = check_features(df, features_col)
+        _need(self.max_features <= self.feature_count, "more features to draw than there are")
         data = df.select(vec.double(features_col).alias("features"), F.col(label_col).cast("int").alias("label"))
         if rows * self.feature_count * 8 <= one_task_bytes:
             args = self.max_depth, self.min_split, self.min_leaf, self.max_features, self.seed
@@ -186,9 +188,8 @@ class DecisionTreeClassifier(Model):
             got = data.coalesce(1).mapInArrow(run, "f long, t double, l long, r long, y long").collect()
             self.nodes = [tuple(r) for r in got]
         else:
-            _need(self.max_features == 0, "feature subsets need a table that fits one task")
             one = data.withColumns({"tree_id": F.lit(0), "weight": F.lit(1)})
-            self.nodes = grow_by_level(one, 1, self.max_depth, self.min_split, self.min_leaf)[0]
+            self.nodes = grow_by_level(one, 1, self.max_depth, self.min_split, self.min_leaf, self.feature_count, self.max_features, self.seed)[0]
         return self
 
     def predict(self, df: DataFrame, features_col: str = "features", out: str = "predicted") -> DataFrame:
@@ -202,11 +203,10 @@ def _tree_column(nodes: list[Node], x: Column, at: int = 0) -> Column:
 
 
 def _predict_udf(df: DataFrame, trees: list[list[Node]], features_col: str, out: str) -> DataFrame:
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
-    def vote(features):
+    @F.pandas_udf("int")
+    def vote(features: pd.Series) -> pd.Series:
         if not len(features):
             return pd.Series([], dtype="int32")
         x = np.vstack(features.to_numpy())
@@ -214,15 +214,15 @@ def _predict_udf(df: DataFrame, trees: list[list[Node]], features_col: str, out:
         classes = np.unique(labels)
         return pd.Series(classes[(labels[None] == classes[:, None, None]).sum(axis=1).argmax(axis=0)].astype("int32"))
 
-    udf = F.pandas_udf(vote, "int", F.PandasUDFType.SCALAR)
-    return df.withColumn(out, udf(vec.double(features_col)))
+    return df.withColumn(out, vote(vec.double(features_col)))
 
 
 class RandomForestClassifier(Model):
     """Trees over bootstrap samples; the parallel axis is the tree. Votes; ties go to the smallest label.
 
     A table of bounded size is broadcast and every tree grows in its own task with its own feature subsets. A larger
-    one is never gathered: rows carry Poisson bootstrap counts and all trees grow level by level together.
+    one is never gathered: rows carry Poisson bootstrap counts (in place of n draws, which no row can make on its own)
+    and all trees grow level by level together, every node with a feature subset of its own too.
     """
 
     fitted = ("trees",)
@@ -239,6 +239,7 @@ class RandomForestClassifier(Model):
 
     def fit(self, df: DataFrame, id_col: str = "row_id", features_col: str = "features", label_col: str = "label", one_task_bytes: int = ONE_TASK_BYTES // 4) -> RandomForestClassifier:
         rows, width = check_features(df, features_col)
+        _need(self.max_features <= width, "more features to draw than there are")
         data = df.select(F.col(id_col).alias("row_id"), vec.double(features_col).alias("features"), F.col(label_col).cast("int").alias("label"))
         spark = df.sparkSession
         if rows * width * 8 > one_task_bytes:

@@ -84,12 +84,28 @@ class Graph:
         self.backward = topological(self.cost) if self.cost else []
         return self
 
+    def clear_gradients(self) -> None:
+        for p in self.parameters():
+            p.grad = np.zeros((p.rows, p.cols))
+
+    def accumulate(self, feed: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Evaluate the cost for a batch and add its gradients to those the parameters have; the values of all nodes."""
+        val = run(self.backward, feed)
+        grad = gradients(self.backward, val)
+        for p in self.parameters():
+            if id(p) in grad:
+                p.grad = p.grad + grad[id(p)]
+        return val
+
     def parameters(self) -> list[Node]:
         return [n for n in (self.backward or self.forward) if n.parameter]
 
 
 def topological(root: Node) -> list[Node]:
-    """Inputs before the nodes that use them, first inputs first, each once; without recursion."""
+    """Inputs before the nodes that use them, last inputs first, each once; without recursion.
+
+    Parameters are stored and trained in this order.
+    """
     out, done, stack = [], set(), [(root, False)]
     while stack:
         node, ready = stack.pop()
@@ -100,7 +116,7 @@ def topological(root: Node) -> list[Node]:
             out.append(node)
         else:
             stack.append((node, True))
-            stack.extend((i, False) for i in reversed(node.inputs))
+            stack.extend((i, False) for i in node.inputs)
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import rng, vec
 from ..operators.matrices import stack
 from ..operators.preprocessing import NotFittedError, check_features
-from .graph import Graph, gradients, run
+from .graph import Graph, run
 
 OPTIMIZERS = ("sgd", "momentum", "nesterov", "rmsprop", "adam", "adamw")
 #: A training set is sent to every run whole; a larger one raises, since its steps cannot be cut into tasks.
@@ -66,9 +66,12 @@ def update(kind: Training, step: int, w: np.ndarray, g: np.ndarray, m: np.ndarra
         w -= lr * (m / (1 - kind.beta1**step)) / (np.sqrt(v / (1 - kind.beta2**step)) + kind.epsilon)
 
 
-def fit_arrays(g: Graph, kind: Training, x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, generator: rng.PCG32 | None = None) -> list[tuple]:
+def fit_arrays(g: Graph, kind: Training, x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, generator: rng.PCG32 | None = None, report: Callable[[tuple], None] | None = None) -> list[tuple]:
     """Train g's parameters; (epoch, accuracy, cost, learning rate) on the test rows after every epoch.
 
+    ``generator`` is the one that made the weights, so that a run draws from one stream; ``report`` is given every
+    epoch's row as soon as it is known.
+
     The order of rows is swapped about before each epoch; an incomplete last batch is dropped. Gradients are averaged
     over the batch, then clipped by their joint norm (0: not), then given to the optimizer.
     """
@@ -81,8 +84,9 @@ def fit_arrays(g: Graph, kind: Training, x: np.ndarray, y: np.ndarray, tx: np.nd
     for epoch, order in enumerate(rng.transposition_orders(len(x), kind.epochs, generator or rng.PCG32())):
         for b in range(batches):
             at = order[b * kind.batch_size : (b + 1) * kind.batch_size]
-            grad = gradients(g.backward, run(g.backward, {id(g.input): x[at][:, :, None], id(g.target): y[at][:, :, None]}))
-            mean = [grad[id(p)] / kind.batch_size for p in params]
+            g.clear_gradients()
+            g.accumulate({id(g.input): x[at][:, :, None], id(g.target): y[at][:, :, None]})
+            mean = [p.grad / kind.batch_size for p in params]
             norm = np.sqrt(sum((m * m).sum() for m in mean))
             if kind.clip > 0 and norm > kind.clip:
                 mean = [m * (kind.clip / norm) for m in mean]
@@ -95,6 +99,8 @@ def fit_arrays(g: Graph, kind: Training, x: np.ndarray, y: np.ndarray, tx: np.nd
             right += (shown[:, :, 0].argmax(axis=1) == ty[at : at + 4096].argmax(axis=1)).sum()
             cost += val[id(g.cost)].sum()
         out.append((epoch + 1, right / len(tx), cost / len(tx), kind.learning_rate))
+        if report:
+            report(out[-1])
     return out
 
 
@@ -106,8 +112,11 @@ def _vectors(df: DataFrame, features: str, label: str, classes: int) -> tuple[np
     return stack(t), stack(t, "y")
 
 
-def train_runs(train: DataFrame, test: DataFrame, build: Callable[[], Graph], runs: dict[str, Training], classes: int, features: str = "features", label: str = "label") -> DataFrame:
-    """(run_id, epoch, accuracy, cost, learning_rate, params): every run trained in its own task; params in the last epoch."""
+def train_runs(train: DataFrame, test: DataFrame, build: Callable[[rng.PCG32], Graph], runs: dict[str, Training], classes: int, features: str = "features", label: str = "label") -> DataFrame:
+    """(run_id, epoch, accuracy, cost, learning_rate, params): every run trained in its own task; params in the last epoch.
+
+    A run draws its weights and then its orders of rows from one generator, the same for all runs.
+    """
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast((*_vectors(train, features, label, classes), *_vectors(test, features, label, classes)))
     kinds = {k: asdict(v) for k, v in runs.items()}
@@ -115,8 +124,9 @@ def train_runs(train: DataFrame, test: DataFrame, build: Callable[[], Graph], ru
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column(0).to_pylist():
-                g = build()
-                rows = fit_arrays(g, Training(**kinds[name]), *shared.value)
+                generator = rng.PCG32()
+                g = build(generator)
+                rows = fit_arrays(g, Training(**kinds[name]), *shared.value, generator)
                 last = [[p.value.ravel().tolist() for p in g.parameters()] if r is rows[-1] else None for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *(pa.array(c) for c in zip(*rows)), pa.array(last, pa.list_(pa.list_(pa.float64())))], ["run_id", "epoch", "accuracy", "cost", "learning_rate", "params"])
 

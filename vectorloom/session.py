@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -28,6 +28,26 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     return builder.config(map=LOCAL | settings).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a local session without the setting gets a folder of its own."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vectorloom-"))
+        path = sc.getCheckpointDir()
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as it is now, written to the shared folder: whatever reads it again, also after lost executors, reads the same rows."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless their PYTHONPATH already has it."""
     sc = spark.sparkContext

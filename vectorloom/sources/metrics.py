@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +14,25 @@ HEADER = "epoch,accuracy,cost,learning_rate"
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(epoch, accuracy, cost, learning_rate) as doubles. Blank lines are skipped and columns beyond the fourth ignored.
 
-    Another header, a number that does not parse, or no rows raises ValueError.
+    Another header, one that is repeated, a number that does not parse, or no rows raises ValueError.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_block_start").alias("at"))
-    first = spark.read.text(path).limit(1).collect()
-    if not first or first[0][0].rstrip("\r") != HEADER:
-        raise ValueError(f"the header must be {HEADER}")
-    parts = F.split("line", ",")
+    # One row an epoch, so a file is read whole and the place of a line in it is known.
+    return checked(spark.read.text(path, wholetext=True))
+
+
+def checked(files: DataFrame) -> DataFrame:
+    """The rows of metrics files, given whole in ``value``; raises as ``read_metrics`` does."""
+    lines = files.select(F.posexplode(F.split("value", "\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", "\r$", "")))
     cols = [F.expr(f"try_cast(get(split(line, ','), {i}) AS DOUBLE)").alias(c) for i, c in enumerate(HEADER.split(","))]
-    rows = lines.where((F.col("line") != "") & (F.col("line") != HEADER)).select(F.size(parts).alias("n"), *cols)
-    bad = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n").__lt__(4) | F.expr("epoch IS NULL OR accuracy IS NULL OR cost IS NULL OR learning_rate IS NULL")).alias("bad")).first()
-    if bad["bad"] or not bad["n"]:
-        raise ValueError(f"{bad['bad']} bad rows of {bad['n']}")
-    return rows.drop("n")
+    rows = lines.where("line <> '' or at = 0").select("at", "line", *cols)
+    broken = F.expr("epoch IS NULL OR accuracy IS NULL OR cost IS NULL OR learning_rate IS NULL")
+    head = F.col("at") == 0
+    seen = rows.agg(F.count_if(~head).alias("n"), F.count_if(~head & broken).alias("bad"), F.count_if(head & (F.col("line") == HEADER)).alias("heads"), F.count_if(head).alias("files")).first()
+    if not seen["files"] or seen["heads"] != seen["files"]:
+        raise ValueError(f"the header must be {HEADER}")
+    if seen["bad"] or not seen["n"]:
+        raise ValueError(f"{seen['bad']} bad rows of {seen['n']}")
+    return rows.where("at > 0").drop("at", "line")
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
@@ -36,3 +43,27 @@ def write_metrics(df: DataFrame, path: str) -> None:
         for r in df.orderBy("epoch").select(line.alias("line")).toLocalIterator():
             f.write(r["line"] + "\n")
     os.replace(path + ".tmp", path)
+
+
+class MetricsLog:
+    """A metrics file that is written while a run goes on: each row is flushed, so a run that is cut off leaves its epochs.
+
+    ``progress`` also prints what a test pass gave: right answers of all, and their share.
+    """
+
+    def __init__(self, path: str, tests: int = 0, progress: Callable[[str], None] | None = None):
+        self.file, self.tests, self.progress = open(path, "w"), tests, progress
+        self._put(HEADER)
+
+    def _put(self, line: str) -> None:
+        self.file.write(line + "\n")
+        self.file.flush()
+
+    def __call__(self, row: tuple) -> None:
+        epoch, accuracy, cost, rate = row
+        self._put(f"{epoch},{accuracy:.6f},{cost:.6f},{rate:.8f}")
+        if self.progress:
+            self.progress(f"Epoch {epoch}: test {round(accuracy * self.tests)}/{self.tests} ({100 * accuracy:.2f}%), cost {cost:.6f}")
+
+    def close(self) -> None:
+        self.file.close()

@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.profile import numbered
 
 #: Bytes of one read; a matrix is cut into ranges of whole rows of about this size, one task each.
 RANGE_BYTES = 64 << 20
@@ -53,8 +56,30 @@ def read_floats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_matrix(df: DataFrame, path: str, id_col: str = "row_id", features_col: str = "features") -> None:
-    """One file in order of the id, streamed through the driver partition by partition."""
-    with open(path + ".tmp", "wb") as f:
-        for r in df.select(id_col, features_col).orderBy(id_col).toLocalIterator():
-            f.write(np.asarray(r[1], "<f4").tobytes())
-    os.replace(path + ".tmp", path)
+    """One file in order of the id: every task writes its rows at their place, so nothing passes through the driver.
+
+    The path must be writable by every executor (a shared mount). A task that is run again writes the same bytes at the
+    same place. Vectors of different lengths raise ValueError; no rows give an empty file.
+    """
+    data = df.select(F.col(id_col).alias("id"), F.col(features_col).cast("array<float>").alias("x"))
+    size = data.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high"), F.count_if(F.col("x").isNull()).alias("nulls")).first()
+    if size["nulls"] or size["low"] != size["high"]:
+        raise ValueError("vectors must be present and of one length")
+    rows, n = numbered(data, ["id"])
+    part, width = path + ".tmp", size["low"] or 0
+    with open(part, "wb") as f:
+        f.truncate(n * width * 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(part, "r+b") as f:
+            for b in batches:
+                at, values = b.column(0).to_numpy(), np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), "<f4").reshape(-1, width)
+                edges = np.flatnonzero(np.diff(at) != 1) + 1
+                for places, block in zip(np.split(at, edges), np.split(values, edges)):
+                    if len(places):
+                        f.seek(int(places[0]) * width * 4)
+                        f.write(np.ascontiguousarray(block).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+
+    rows.select("pos", "x").sortWithinPartitions("pos").mapInArrow(run, "done long").count()
+    os.replace(part, path)

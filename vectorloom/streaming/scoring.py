@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import metrics
+
 
 def score_stream(spark: SparkSession, path: str, schema: str, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """New Parquet files of a folder as a scored stream. Predictions are projections, so the stream keeps no state."""
@@ -21,6 +23,9 @@ def windowed_profile(stream: DataFrame, at_col: str, value_col: str, window: str
 
 
 def follow_metrics(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Give each new batch of metrics rows to ``sink`` (idempotent by batch number)."""
-    rows = spark.readStream.schema("epoch int, accuracy double, cost double, learning_rate double").option("header", True).csv(path)
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Give the rows of each batch of new metrics files to ``sink`` (idempotent by batch number).
+
+    Files are checked as ``read_metrics`` does: a bad one stops the stream.
+    """
+    files = spark.readStream.text(path, wholetext=True)
+    return files.writeStream.foreachBatch(lambda batch, n: sink(metrics.checked(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
