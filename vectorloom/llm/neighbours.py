@@ -211,8 +211,10 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = x2[:, :, None] + x2[:, None] - 2 * np.matmul(x, x.transpose(0, 2, 1))
             good = real[:, :, None] & real[:, None] & (own[:, :, None] != own[:, None]) & (d < np.where(real, worst[slot], -1)[:, :, None])
             g, i, j = np.nonzero(good)
-            if len(g):
-                yield _lists(own[g, i], own[g, j][:, None], d[g, i, j][:, None])
+            if len(g):  # a list for each node of each bucket
+                head = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])])
+                offsets = pa.array(np.r_[head, len(g)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(own[g, i][head]), pa.ListArray.from_arrays(offsets, pa.array(own[g, j])), pa.ListArray.from_arrays(offsets, pa.array(d[g, i, j].astype(np.int32)))], ["row_id", "near", "dist"])
 
 
 def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -242,7 +244,7 @@ def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
         meet = first.select(F.col("row_id").alias("k"), F.col("other").alias("u")).unionAll(thin.select("k", "u")).unionAll(graph.select(F.col("row_id").alias("k"), F.col("row_id").alias("u"))).distinct()
         worst = graph.select(F.col("row_id").alias("u"), F.when(F.size("dist") < KEPT, F.lit(2**31 - 1)).otherwise(F.element_at("dist", -1)).alias("worst"))
         carried = meet.join(worst.join(vectors.select(F.col("row_id").alias("u"), "vec"), "u"), "u").select("k", F.col("u").alias("row_id"), "worst", "vec")
-        better = carried.repartition("k").sortWithinPartitions("k").mapInArrow(_local_join, near).dropDuplicates(["row_id", "near"])
+        better = carried.repartition("k").sortWithinPartitions("k").mapInArrow(_local_join, near)
         new = keep(_best(graph.unionAll(better)), "graph")
         release(graph)
         graph = new
