@@ -473,14 +473,12 @@ def _search(table: DataFrame, vectors: DataFrame, graph: DataFrame, part: DataFr
         release(seen)
         seen = new
     best = keep(_top(seen, MEASURED).groupBy("row_id").agg(F.collect_list("query").alias("queries")), "candidates")
-    ids = best.select("row_id").unionAll(part.select(F.col("query").alias("row_id"))).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    near = keep(table.select("row_id", "levels").join(F.broadcast(ids) if small else ids, "row_id", "left_semi"), "levels")
-    own = near.join(F.broadcast(part.select(F.col("query").alias("row_id"))), "row_id", "left_semi").dropDuplicates(["row_id"])
+    # At most MEASURED candidates of each of QUERY_BLOCK queries, so the lists may go to where the levels are.
+    own = table.select("row_id", "levels").join(F.broadcast(part.select(F.col("query").alias("row_id"))), "row_id", "left_semi").dropDuplicates(["row_id"])
     levels = sc.broadcast(_arrow_map(own.toArrow(), PIXELS))
-    measured = near.join(best, "row_id").select("row_id", "levels", "queries").mapInArrow(_exact(levels), "query long, row_id long, d long").dropDuplicates(["query", "row_id"])
+    measured = table.select("row_id", "levels").join(F.broadcast(best), "row_id").mapInArrow(_exact(levels), "query long, row_id long, d long").dropDuplicates(["query", "row_id"])
     out = keep(_top(measured, k).select("query", F.col("row_id").alias("neighbour"), F.col("d").alias("distance"), "rank"), "nearest")
-    release(near, best, seen)
+    release(best, seen)
     return out
 
 
