@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .blocks import bucketed, groups, squared
 from .images import BROADCAST_IDS, PIXELS, copies, deliveries, fit_sample, fixed_binary, matrix, no_sketch, representatives, sketched
-from .storage import keep, release
+from .storage import keep, release, settle
 
 #: The projection and the trees are fitted on at most so many images, those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -217,6 +217,32 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(own[g, i][head]), pa.ListArray.from_arrays(offsets, pa.array(own[g, j])), pa.ListArray.from_arrays(offsets, pa.array(d[g, i, j].astype(np.int32)))], ["row_id", "near", "dist"])
 
 
+LISTS = "row_id long, near array<long>, dist array<int>"
+
+
+def _seeded(vectors: DataFrame) -> DataFrame:
+    """The graph by brute force within leaves."""
+    placed = vectors.select(F.explode("leaves").alias("k"), F.lit(0).cast("tinyint").alias("side"), "row_id", "vec")
+    return keep(_best(bucketed(placed, placed.select("k"), 4 * LEAF).mapInArrow(_leaf_lists, LISTS)), "graph")
+
+
+def _improved(graph: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The graph after a round of NN-descent."""
+    first = graph.select("row_id", F.explode(F.slice("near", 1, JOINED)).alias("other"))
+    back = first.select(F.col("other").alias("k"), F.col("row_id").alias("u"))
+    # A hub's backward neighbours are thinned in two steps, so it is never sorted as one group.
+    salted = back.withColumn("h", F.xxhash64("k", "u")).withColumn("salt", F.pmod("h", F.lit(16)))
+    thin = salted.withColumn("r", F.row_number().over(Window.partitionBy("k", "salt").orderBy("h"))).where(F.col("r") <= JOINED)
+    thin = thin.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("h"))).where(F.col("r") <= JOINED)
+    meet = first.select(F.col("row_id").alias("k"), F.col("other").alias("u")).unionAll(thin.select("k", "u")).unionAll(graph.select(F.col("row_id").alias("k"), F.col("row_id").alias("u"))).distinct()
+    worst = graph.select(F.col("row_id").alias("u"), F.when(F.size("dist") < KEPT, F.lit(2**31 - 1)).otherwise(F.element_at("dist", -1)).alias("worst"))
+    carried = meet.join(worst.join(vectors.select(F.col("row_id").alias("u"), "vec"), "u"), "u").select("k", F.col("u").alias("row_id"), "worst", "vec")
+    better = carried.repartition("k").sortWithinPartitions("k").mapInArrow(_local_join, LISTS)
+    new = keep(_best(graph.unionAll(better)), "graph")
+    release(graph)
+    return new
+
+
 def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(table, vectors, graph, twins): vectors (row_id, vec), graph (row_id, near, dist) of KEPT neighbours in order.
 
@@ -231,23 +257,10 @@ def build_graph(images: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     table, twins, total = level_table(images)
     index = spark.sparkContext.broadcast(Index(fit_sample(table, FIT_ROWS), total))
     vectors = keep(representatives(table, twins).select("row_id", "levels").mapInArrow(_project(index), "row_id long, vec binary, leaves array<long>").dropDuplicates(["row_id"]), "vectors")
-    placed = vectors.select(F.explode("leaves").alias("k"), F.lit(0).cast("tinyint").alias("side"), "row_id", "vec")
-    near = "row_id long, near array<long>, dist array<int>"
-    graph = keep(_best(bucketed(placed, placed.select("k"), 4 * LEAF).mapInArrow(_leaf_lists, near)), "graph")
+    graph = _seeded(vectors)
     for _ in range(rounds):
-        first = graph.select("row_id", F.explode(F.slice("near", 1, JOINED)).alias("other"))
-        back = first.select(F.col("other").alias("k"), F.col("row_id").alias("u"))
-        # A hub's backward neighbours are thinned in two steps, so it is never sorted as one group.
-        salted = back.withColumn("h", F.xxhash64("k", "u")).withColumn("salt", F.pmod("h", F.lit(16)))
-        thin = salted.withColumn("r", F.row_number().over(Window.partitionBy("k", "salt").orderBy("h"))).where(F.col("r") <= JOINED)
-        thin = thin.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("h"))).where(F.col("r") <= JOINED)
-        meet = first.select(F.col("row_id").alias("k"), F.col("other").alias("u")).unionAll(thin.select("k", "u")).unionAll(graph.select(F.col("row_id").alias("k"), F.col("row_id").alias("u"))).distinct()
-        worst = graph.select(F.col("row_id").alias("u"), F.when(F.size("dist") < KEPT, F.lit(2**31 - 1)).otherwise(F.element_at("dist", -1)).alias("worst"))
-        carried = meet.join(worst.join(vectors.select(F.col("row_id").alias("u"), "vec"), "u"), "u").select("k", F.col("u").alias("row_id"), "worst", "vec")
-        better = carried.repartition("k").sortWithinPartitions("k").mapInArrow(_local_join, near)
-        new = keep(_best(graph.unionAll(better)), "graph")
-        release(graph)
-        graph = new
+        settle(graph)
+        graph = _improved(graph, vectors)
     return table, vectors, graph, twins
 
 

@@ -6,27 +6,18 @@ back: the files survive the loss of any executor, and a table that is used twice
 
 from __future__ import annotations
 
-import tempfile
+import gc
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder. Only a local session without the setting gets a folder of its own."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        path = "file://" + tempfile.mkdtemp(prefix="vectorloom-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir() or path
-    return path
+from ..session import shared_dir
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it. ``release`` deletes it."""
+    _collect(df)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -34,16 +25,29 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables made by ``keep`` once everything derived from them is itself written.
+def _collect(df: DataFrame) -> None:
+    """Collect the driver's garbage: Spark deletes the shuffle files behind tables written before only when it is collected."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def settle(df: DataFrame, seconds: float = 1.5) -> None:
+    """Let shuffle files of tables just written be deleted before a step that needs as much room again.
 
-    Then the driver collects its garbage: Spark deletes the shuffle files behind the tables only when it does.
+    Python's hold on the plan behind a table ends up to a second after the table is written, so this waits for it; the
+    scheduler's ends with its next job, so this runs a trivial one.
     """
+    df.sparkSession.range(1).count()
+    time.sleep(seconds)
+    _collect(df)
+    time.sleep(0.2)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``keep`` once everything derived from them is itself written."""
     for df in tables:
         path = getattr(df, "_vectorloom_path", None)
         if path:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
-    for df in tables[:1]:
-        df.sparkSession._jvm.System.gc()
