@@ -150,6 +150,20 @@ def test_pack(spark):
     assert packing.pack(sizes.limit(0)).count() == 0
 
 
+def test_pack_in_shards(spark):
+    """Many shards hold every item once, overfill nothing and waste little more than one shard does."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(1, 1500)) for i in range(3000)]
+    items = spark.createDataFrame(rows, "doc_id long, tokens long")
+    few, one = (packing.pack(items, shard_items=n) for n in (300, 5000))
+    got = few.collect()
+    assert sorted((r["doc_id"], r["tokens"]) for r in got) == rows and len({r["container"].rsplit("-", 1)[0] for r in got}) == 10
+    full = {}
+    for r in got:
+        full[r["container"]] = full.get(r["container"], 0) + r["tokens"]
+    assert max(full.values()) <= 4096 and len(full) <= one.select("container").distinct().count() * 1.02 + 10
+
+
 def test_pack_takes_the_cheapest_with_room():
     assert packing._pack(np.array([60, 50, 35, 5]), 100, 1.0).tolist() == [0, 1, 1, 0]
     lengths = np.sort(np.random.default_rng(5).integers(1, 400, 600))[::-1]
