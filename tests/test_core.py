@@ -10,6 +10,7 @@ from vectorloom.operators import contracts, learners, matrices, preprocessing, t
 from vectorloom.operators import profile as prof
 from vectorloom.plans import graph, train
 from vectorloom.sources import checkpoints, metrics, raw, reports
+from vectorloom.streaming import scoring
 
 FOUR = [(-2.0, -1.0), (-1.0, -2.0), (1.0, 2.0), (2.0, 1.0)]
 
@@ -400,3 +401,16 @@ def test_stream_scoring(spark, tmp_path, four):
     q = scoring.score_stream(spark, str(tmp_path / "in"), "row_id long, features array<double>, label int", m.predict).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("scored").where("predicted = label").count() == 4
+
+
+def test_follow_metrics(spark, tmp_path):
+    """Each new file is checked like one that is read whole: header, blank lines, further columns."""
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    (folder / "a.csv").write_text(metrics.HEADER + "\n1,0.5,0.9,0.01\n\n2,0.75,0.6,0.01,more\n")
+    follow = lambda: scoring.follow_metrics(spark, str(folder), lambda batch, n: seen.extend(tuple(r) for r in batch.collect()), str(tmp_path / "state")).awaitTermination()
+    follow()
+    assert sorted(seen) == [(1, 0.5, 0.9, 0.01), (2, 0.75, 0.6, 0.01)]
+    (folder / "b.csv").write_text("epoch,loss\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        follow()

@@ -39,7 +39,7 @@ def _alike(arrays: Sequence[Column], out: Column) -> Column:
     return F.when(present & same, out).when(present, F.raise_error(F.lit("vectors differ in length")).cast("array<double>"))
 
 
-def _bind(value: Column, use) -> Column:
+def bind(value: Column, use) -> Column:
     """use(value), the value worked out once a row; inside a lambda it would be worked out for every entry."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -106,8 +106,8 @@ def relu(a: Column | str) -> Column:
 
 def softmax(a: Column | str) -> Column:
     """Shifted by the largest entry; work is linear in the width. An empty vector, or a sum of 0, gives null."""
-    shifted = _bind(double(a), lambda v: _bind(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))))
-    shares = _bind(shifted, lambda e: _bind(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda s: F.when((F.size(e) > 0) & (s != 0), F.transform(e, lambda x: x / s))))
+    shifted = bind(double(a), lambda v: bind(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))))
+    shares = bind(shifted, lambda e: bind(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda s: F.when((F.size(e) > 0) & (s != 0), F.transform(e, lambda x: x / s))))
     return shares
 
 

@@ -67,6 +67,13 @@ def normalise_pixels(df: DataFrame, features_col: str = "features", out: str = "
     return df.withColumn(out, F.transform(vec.double(features_col), lambda x: x / 255))
 
 
+def unit_pixels(df: DataFrame, features_col: str = "features", out: str = "features") -> DataFrame:
+    """Pixels in [0, 1], whether a vector holds fractions or, where an entry exceeds 2, bytes."""
+    f = vec.double(features_col)
+    clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return df.withColumn(out, vec.bind(F.array_max(f) > 2, lambda wide: F.transform(f, lambda x: clamp(F.when(wide, x / 255).otherwise(x)))))
+
+
 def invalid_rows(df: DataFrame, width: int, classes: int = 10, features_col: str = "features", label_col: str = "label") -> DataFrame:
     """df with ``problem``: the first of null features, wrong size, not finite, null label, not whole, out of range; null if none."""
     return df.withColumn("problem", F.coalesce(features_problem(width, features_col), label_problem(classes, label_col)))

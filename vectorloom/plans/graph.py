@@ -153,6 +153,8 @@ def gradients(order: list[Node], val: dict[int, np.ndarray]) -> dict[int, np.nda
 
     def give(node: Node, g: np.ndarray) -> None:
         if node.requires_grad:
+            if node.parameter and g.ndim == 3:
+                g = g.sum(axis=0)
             grad[id(node)] = grad[id(node)] + g if id(node) in grad else g
 
     for n in reversed(order):
@@ -168,12 +170,14 @@ def gradients(order: list[Node], val: dict[int, np.ndarray]) -> dict[int, np.nda
             give(n.inputs[0], g)
             give(n.inputs[1], g if n.op == "add" else -g)
         elif n.op == "matmul":
-            give(n.inputs[0], g @ np.swapaxes(a[1], -1, -2))
+            # A stored matrix's gradient is summed over the samples at once, not made for each of them first.
+            both = n.inputs[0].parameter and g.ndim == a[1].ndim == 3
+            give(n.inputs[0], np.tensordot(g, a[1], axes=([0, 2], [0, 2])) if both else g @ np.swapaxes(a[1], -1, -2))
             give(n.inputs[1], np.swapaxes(a[0], -1, -2) @ g)
         else:
             give(n.inputs[0], -np.log(a[1] + vec.EPSILON) * g)
             give(n.inputs[1], (a[1] - a[0]) * g)
-    return {k: (g.sum(axis=0) if g.ndim == 3 else g) if (n := next((x for x in order if id(x) == k), None)) is not None and n.parameter else g for k, g in grad.items()}
+    return grad
 
 
 def _times(x: Column):

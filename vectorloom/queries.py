@@ -240,6 +240,14 @@ def join04_gather(spark, d):
     return _r(at.join(rows, "row_id").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum(vec.total("features")).alias("s")), "s", places=4)
 
 
+@query("WITH r AS (SELECT row_id, len(features) AS w, row_number() OVER (ORDER BY row_id, ingested_at) - 1 AS pos, count(*) OVER () AS n FROM train_images WHERE row_id IS NOT NULL AND ingested_at IS NOT NULL) SELECT pos // 50 AS batch, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids, CAST(sum(w) AS BIGINT) AS width FROM r WHERE pos // 50 < n // 50 GROUP BY 1")
+def win05_image_batches(spark, d):
+    """Batches of whole images, whose rows are wide."""
+    images = spark.read.parquet(f"{d}/train_images.parquet").where("row_id is not null and ingested_at is not null").select("row_id", "ingested_at", "features")
+    batches = prof.mini_batches(images, 50, ["row_id", "ingested_at"])
+    return batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"), F.sum(F.when(F.col("features").isNotNull(), F.size("features"))).cast("long").alias("width"))
+
+
 @query("SELECT coalesce(problem, 'none') AS problem, count(*) AS n FROM (SELECT CASE WHEN features IS NULL THEN 'no features' WHEN len(features) <> 784 THEN 'wrong size' WHEN len(list_filter(features, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' WHEN label IS NULL OR isnan(label) THEN 'no label' WHEN label <> floor(label) THEN 'label not whole' WHEN label < 0 OR label >= 10 THEN 'label out of range' END AS problem FROM train_images JOIN train_labels USING (row_id)) GROUP BY 1")
 def flt02_validate(spark, d):
     images = spark.read.parquet(f"{d}/train_images.parquet").select("row_id", preprocessing.features_problem(784).alias("f"))
@@ -598,8 +606,7 @@ def nn09_flagship(spark, d):
     for split in ("train", "test"):
         images = spark.read.parquet(f"{d}/{split}_images.parquet").select("row_id", "features", "ingested_at")
         images = images.where(preprocessing.features_problem(784).isNull()).groupBy("row_id").agg(F.max_by("features", "ingested_at").alias("features"))
-        wide = F.array_max("features") > 2
-        images = images.withColumn("features", F.transform("features", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(wide, x / 255).otherwise(x).cast("double")))))
+        images = preprocessing.unit_pixels(images)
         labels = spark.read.parquet(f"{d}/{split}_labels.parquet").groupBy("row_id").agg(F.max(F.struct("labelled_at", "label"))["label"].alias("label"))
         parts.append(images.join(labels.where(preprocessing.label_problem().isNull()), "row_id").select("row_id", "features", F.col("label").cast("int").alias("label")))
     kind = train.Training(10, 50, 0.01, "momentum", 0.9)
