@@ -128,6 +128,15 @@ CUT = "CASE WHEN len(list_filter(regexp_split_to_array(text, '[ \n]'), lambda w:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": POOL + " SELECT plan_id, label FROM want WHERE available < wanted",
+        "p3_report": POOL
+        + """, cell AS (SELECT plan_id, t.label, max(target_share) AS share, max(sample_size) AS size, max(min_rows) AS least, any_value(coalesce(h.available, 0)) AS available
+            FROM sample_targets t LEFT JOIN have h ON h.label = t.label GROUP BY plan_id, t.label),
+        line AS (SELECT plan_id, label, share, size, rank, rank <= least AS held FROM (SELECT *, unnest(range(1, available + 1)) AS rank FROM cell)),
+        free AS (SELECT plan_id, label, size, row_number() OVER (PARTITION BY plan_id ORDER BY (rank - 0.5::DOUBLE) / share, label) AS place FROM line WHERE NOT held AND share > 0),
+        kept AS (SELECT plan_id, count(*) AS n FROM line WHERE held GROUP BY 1),
+        drawn AS (SELECT plan_id, label, count(*) AS n FROM (SELECT plan_id, label FROM line WHERE held UNION ALL
+            SELECT plan_id, label FROM free LEFT JOIN kept USING (plan_id) WHERE place + coalesce(n, 0) <= size) GROUP BY 1, 2)
+        SELECT plan_id, label, available, wanted, coalesce(n, 0) AS drawn, coalesce(n, 0) >= wanted AS met, available < wanted AS short FROM want LEFT JOIN drawn USING (plan_id, label)""",
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
         "p6_report": "SELECT CAST(sum(ceil(strlen(text) / 4096.0)) AS BIGINT) AS items, CAST(sum(strlen(text)) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull FROM documents WHERE strlen(text) > 0",
         "p8_report": f"SELECT cut, count(*) AS texts, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT strlen(text) AS tokens, {CUT} FROM documents WHERE strlen(text) > 2048) GROUP BY cut",
