@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from vectorloom import benchmark
 from vectorloom.functions import rng, vec
 from vectorloom.operators import contracts, learners, matrices, preprocessing, trees
 from vectorloom.operators import profile as prof
-from vectorloom.plans import graph, train
+from vectorloom.plans import graph, stored, train
 from vectorloom.sources import checkpoints, metrics, raw, reports
 from vectorloom.streaming import scoring
 
@@ -193,6 +194,38 @@ def test_optimizers(name):
     assert x.op == "create"
 
 
+def test_training_above_what_is_sent(spark, monkeypatch):
+    """Rows read from files train the same network, to the bit, as rows sent whole; nothing of them is left behind."""
+    gen = np.random.default_rng(5)
+    x = np.vstack([(gen.integers(0, 256, (150, 6)).astype("f4") / np.float32(255)).astype(float), gen.random((90, 6))])
+    rows = table(spark, gen.permutation(x).tolist(), (x[:, 0] * 2.99).astype(int).tolist()).repartition(3)
+    kinds = {"a": train.Training(3, 7, 0.05), "b": train.Training(2, 50, 0.01, "adam")}
+
+    def runs():
+        got = train.train_runs(rows.where("row_id % 4 > 0"), rows.where("row_id % 4 = 0"), lambda r: graph.residual_classifier(6, 3, 3, r), kinds, 3)
+        return got.schema, sorted(map(tuple, got.collect()), key=lambda r: r[:2])
+
+    folders = []
+    monkeypatch.setattr(train, "new_folder", lambda s: folders.append(stored.new_folder(s)) or folders[-1])
+    monkeypatch.setattr(train, "TEST_ROWS", 25)
+    sent = runs()
+    assert not folders and len(sent[1]) == 5
+    monkeypatch.setattr(train, "MOST_BYTES", 0)
+    assert runs() == sent and len(folders) == 1 and not os.path.exists(folders[0])
+    for bad, why in ((rows.where("row_id < 0"), "at least one row"), (rows.withColumn("features", F.slice("features", 1, 5)), "were expected")):
+        with pytest.raises(Exception, match=why):
+            train.train_runs(bad, rows, lambda r: graph.residual_classifier(6, 3, 3, r), kinds, 3)
+
+
+def test_packed_rows_keep_their_bits():
+    byte = np.arange(256, dtype="f4")
+    rows = [np.tile((byte / np.float32(255)).astype(float), 2), np.tile(byte.astype(float) / 255, 2), np.tile(byte, 2) * 1.5, np.linspace(-1, 1, 512), np.full(512, -0.0), np.tile([np.nan, np.inf, 1e300, 0.1], 128)]
+    x = np.array(rows)
+    packed = stored.pack(x)
+    assert [p[0] for p in packed] == [0, 1, 2, 3, 2, 3]
+    assert stored.unpack(packed, 512).tobytes() == x.tobytes()
+
+
 def test_graph_gradients_and_column(spark):
     g = graph.residual_classifier(4, 3, 2)
     x, y = np.array([[0.1, 0.2, 0.3, 0.4]]), np.array([[1.0, 0.0]])
